@@ -40,7 +40,8 @@ def heavy_digests(rows: DataFrame, tracked: int = TRACKED) -> DataFrame:
     total = rows.count()
     least = max(2, total // tracked)
     sketches = keyed.groupBy((F.spark_partition_id() % MERGERS).alias("part")).agg(F.expr(f"approx_top_k_accumulate(key, {8 * tracked})").alias("sketch"))
-    top = sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {8 * tracked}), {tracked})").alias("top")).first() if total else None
+    # A constant group: without one, tasks that have no rows would add buffers that the merge can't read.
+    top = sketches.groupBy((F.col("part") < 0).alias("none")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {8 * tracked}), {tracked})").alias("top")).first() if total else None
     candidates = [(x["item"],) for x in top["top"] if x["count"] >= least] if top and top["top"] else []
     if not candidates:
         return spark.createDataFrame([], WINNER)
