@@ -68,12 +68,19 @@ def _sweep() -> None:
             return
 
 
+#: Rows of a batch that goes to a Python worker; whole texts may be long.
+ARROW_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package from where the driver has it."""
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if home not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+        spark.conf.set(rows, ARROW_ROWS)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
