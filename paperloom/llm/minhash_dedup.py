@@ -5,9 +5,11 @@
    other in all bands with a probability of 5e-6; 0.8 and more, below 6e-8.
 3. In each band bucket every class is paired with the bucket's best-connected class (a star, not all pairs), pairs are
    sifted by a 256-bit digest of the signatures and confirmed on the full sets, and links become components.
-4. Classes of one bucket that are still in different components are paired with each other, so that no link is lost
+4. Classes of one bucket that are still in different components are compared with each other, so that no link is lost
    to a star's centre; within a component nothing is compared again, so a group of copies never meets itself in full.
-   Pairs are sifted and confirmed as before.
+   In buckets of up to ``SMALL`` classes this is a join of pairs, sifted and confirmed as before. Larger buckets are cut
+   into tiles, pairs of blocks of about ``TILE`` classes with their full sets; a task holds one tile, compares each pair
+   in the first band that it shares, and gives out one link for two components, so no pairs are written.
 5. Components come from alternating large-star and small-star passes.
 
 Defined results: texts that are null, empty or all white space have an empty set and link with nothing; fewer words
@@ -30,6 +32,8 @@ HASHES = BANDS * ROWS
 MAX_MISMATCH = 48
 #: Beyond so many rows (16 bytes each) a list of rows is joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Largest bucket whose pairs are joined, and classes in a block of a larger one.
+SMALL, TILE = 16, 384
 #: Words remembered by a Python worker, and shingles hashed at once.
 WORD_CACHE, BLOCK = 400_000, 1 << 15
 SEED = 0x5EED_0001
@@ -164,6 +168,73 @@ def _set_maker(k: int):
     return sets
 
 
+def _tile_matcher(percent: int):
+    """One link (a, b) for each two components of a tile that have one; rows come sorted by tile (key, x, y)."""
+
+    def links(t: dict):
+        n, root, node, bits, bands, block = (t[c] for c in ("n", "root", "node", "bits", "bands", "block"))
+        at = t["start"]
+        order = np.unique(t["members"], return_inverse=True)[1]
+        flag = np.zeros(order.max(initial=0) + 1, np.int64)
+        across = t["x"] != t["y"]
+        found = []
+        for i in range(len(n)):
+            j = np.arange(i + 1, len(n))
+            j = j[(root[j] != root[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            if across:
+                j = j[block[j] != block[i]]
+            differ = bits[j] ^ bits[i]
+            j = j[np.bitwise_count((differ | (differ >> U64(1))) & U64(PAIR_BITS)).sum(1) <= MAX_MISMATCH]
+            if len(j):
+                j = j[(bands[j] == bands[i]).argmax(1) == t["band"]]  # handled in an earlier band otherwise
+            if not len(j):
+                continue
+            mine = order[at[i] : at[i + 1]]
+            flag[mine] = 1
+            size = n[j]
+            stop = np.cumsum(size)
+            both = np.add.reduceat(flag[order[np.repeat(at[j] - stop + size, size) + np.arange(stop[-1])]], stop - size)
+            flag[mine] = 0
+            j = j[100 * both >= percent * (size + n[i] - both)]
+            found += [(root[i], root[k], node[i], node[k]) for k in j]
+        return {(min(a, b), max(a, b)): (x, y) for a, b, x, y in found}.values()
+
+    def match(batches):
+        import pyarrow as pa
+
+        held: list = []
+
+        def run(table, cuts):
+            lists = {c: table.column(c).combine_chunks() for c in ("bits", "bands", "members")}
+            flat = {c: v.flatten().to_numpy(zero_copy_only=False) for c, v in lists.items()}
+            cols = {c: table.column(c).to_numpy() for c in ("key", "x", "y", "node", "n", "root", "block")}
+            cols |= {"bits": flat["bits"].view(U64).reshape(-1, 4), "bands": flat["bands"].reshape(-1, BANDS)}
+            start = np.concatenate([[0], np.cumsum(cols["n"])])
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                one = {c: v[lo:hi] for c, v in cols.items()}
+                one |= {"x": cols["x"][lo], "y": cols["y"][lo], "start": start[lo : hi + 1] - start[lo], "members": flat["members"][start[lo] : start[hi]]}
+                one["band"] = int((one["bands"][0] == cols["key"][lo]).argmax())
+                if out := list(links(one)):
+                    yield pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([int(y) for _, y in out], pa.int64())], names=["a", "b"])
+
+        def tiles(table, last: bool):
+            """Whole tiles of the rows at hand; the rest is held back for the next batch."""
+            key, x, y = (table.column(c).to_numpy() for c in ("key", "x", "y"))
+            edge = (np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist()
+            cuts = [0, *edge, *([table.num_rows] if last else [])]
+            yield from run(table, cuts)
+            held[:] = [] if last else table.slice(cuts[-1]).combine_chunks().to_batches()
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                table = pa.Table.from_batches([*held, batch.slice(start, 256)])
+                yield from tiles(table, False)
+        if held:
+            yield from tiles(pa.Table.from_batches(held), True)
+
+    return match
+
+
 class _Search:
     """The steps over one table; ``docs`` is read again for the full sets of classes that have candidates."""
 
@@ -199,25 +270,38 @@ class _Search:
         hubs = members.groupBy("key").agg(hub)
         return self.sift(members.alias("x").join(hubs, "key").where("x.node <> y.node"))
 
-    def cross_pairs(self, members: DataFrame, root: DataFrame) -> DataFrame:
-        """Pairs of one bucket in different components."""
+    def cross_links(self, members: DataFrame, root: DataFrame) -> DataFrame:
+        """Links between components, all of them in effect: at least one for two components that have any."""
         placed = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        placed = save(placed.join(broadcast_if_small(mixed, BROADCAST_ROWS), "key", "left_semi").select("key", "node", "n", "bits", "root"), "mixed")
-        return self.sift(placed.alias("x").join(placed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root"))))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+        placed = save(placed.join(broadcast_if_small(mixed, BROADCAST_ROWS), "key").select("key", "size", "node", "n", "bits", "root"), "mixed")
+        small, large = placed.where(F.col("size") <= SMALL), placed.where(F.col("size") > SMALL)
+        pairs = self.sift(small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root"))))
+        sets = self.sets_of(large.select(F.col("node").alias("uid")).distinct())
+        full = sets.join(self.rows.select(F.col("uid").alias("node"), "bands"), "node")
+        blocks = F.ceil(F.col("size") / TILE).cast("long")
+        tiled = large.withColumn("g", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("g"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+        tiled = tiled.select("key", "node", "n", "bits", "root", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).join(full, "node")
+        parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        columns = ["key", "x", "y", "node", "n", "root", "block", "bits", "bands", "members"]
+        dealt = tiled.select(columns).repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y")
+        return self.confirm(pairs).union(dealt.mapInArrow(_tile_matcher(self.percent), "a long, b long"))
+
+    def sets_of(self, wanted: DataFrame) -> DataFrame:
+        """(node, members) of the classes ``wanted`` (uid), from their texts."""
+        wanted = save(self.rows.select("uid", "id", "text_hash").join(broadcast_if_small(wanted, BROADCAST_ROWS), "uid", "left_semi"), "wanted")
+        w = broadcast_if_small(wanted, BROADCAST_ROWS).alias("w")
+        texts = self.docs.alias("d").join(w, (F.col("d.text_hash") == F.col("w.text_hash")) & F.col("d.id").eqNullSafe(F.col("w.id")))
+        return save(texts.select(F.col("w.uid").alias("node"), F.col("d.text").alias("text")).mapInArrow(_set_maker(self.k), SETS), "sets")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
         pairs = save(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
-        wanted = save(self.rows.select("uid", "id", "text_hash").join(broadcast_if_small(wanted, BROADCAST_ROWS), "uid", "left_semi"), "wanted")
-        w = broadcast_if_small(wanted, BROADCAST_ROWS).alias("w")
-        texts = self.docs.alias("d").join(w, (F.col("d.text_hash") == F.col("w.text_hash")) & F.col("d.id").eqNullSafe(F.col("w.id")))
-        sets = save(texts.select(F.col("w.uid").alias("node"), F.col("d.text").alias("text")).mapInArrow(_set_maker(self.k), SETS), "sets")
+        sets = self.sets_of(pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct())
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
         same = F.size(F.array_intersect("ma", "mb"))
         links = save(both.where(100 * same >= self.percent * (F.size("ma") + F.size("mb") - same)).select("a", "b").distinct(), "links")
-        discard(wanted, sets, pairs)
+        discard(sets, pairs)
         return links
 
     def components(self) -> DataFrame:
@@ -225,8 +309,7 @@ class _Search:
         members = self.buckets()
         links = self.confirm(self.star_pairs(members))
         first = save(connected_components(links), "first")
-        more = self.confirm(self.cross_pairs(members, first))
-        edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+        edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(self.cross_links(members, first))
         return connected_components(edges)
 
 
