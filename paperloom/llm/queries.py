@@ -32,6 +32,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_duplicates(table(spark, sf_dir, "documents"))
 
 
+def held_out(id_col: str = "doc_id"):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.toxicity import train, with_score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
+    scored = with_score(docs, train(docs, labels), name="score")
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.mixing import mix
 
