@@ -26,6 +26,13 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.license_scan import with_licenses
+
+    found = with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[F.col(f"__pl_licenses.{c}") for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.exact_dedup import group_duplicates
 
@@ -45,6 +52,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.sharding import shard
+
+    found = shard(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.mixing import mix
 
