@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.plans.workspace import ship
+from paperloom.plans.workspace import new_folder, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,24 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"__pl_licenses.{c}") for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.warc import page_id, read_archive, write_archive
+
+    path = new_folder(spark, "archive")
+    write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    found = read_archive(spark, path, payload=False, verify=True).where(F.col("warc_type").isin("response", "revisit"))
+    digest = F.regexp_extract("payload_digest", "^sha1:(.*)$", 1).alias("payload_digest")
+    return found.select(page_id(F.col("record_id")).alias("page_id"), F.col("payload_length").alias("payload_bytes"), digest, F.col("warc_type").alias("record_type"), page_id(F.col("refers_to")).alias("refers_to"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces with merge-dropout and the text that they decode to, as digests: lossless is true for every row."""
+    from paperloom.llm.pieces import with_text, with_tokens
+
+    found = with_text(with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.xxhash64("token_ids").alias("token_hash"), F.octet_length("decoded").cast("long").alias("n_bytes"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.exact_dedup import group_duplicates
 
@@ -117,5 +135,20 @@ FROM reach GROUP BY vec_id
 """
 
 
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, upper(sha1(coalesce(html, ''))) AS hexed FROM pages),
+digits AS (
+  SELECT page_id, body, list_transform(range(0, 32), lambda i: ((
+    16 * (strpos('0123456789ABCDEF', substr(hexed || '0', 1 + (5 * i) // 4, 1)) - 1) + strpos('0123456789ABCDEF', substr(hexed || '0', 2 + (5 * i) // 4, 1)) - 1
+  ) >> (3 - (5 * i) % 4)) & 31) AS d FROM p),
+kept AS (
+  SELECT page_id, strlen(body) AS payload_bytes, max(page_id) OVER (PARTITION BY body) AS best,
+         list_reduce(list_transform(d, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x + 1, 1)), lambda a, b: a || b) AS payload_digest FROM digits)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> best THEN best END AS refers_to
+FROM kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op5_warc": OP5_SQL, "op7_exact_dedup": OP7_SQL}
