@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ from paperloom.plans.workspace import ship
 
 BUCKETS, DIMS, WINDOW = 1 << 18, 8, 4
 SHORT, LONG = 3, 5
-PER_CLASS, FIT_BYTES = 6000, 24_000_000
+PER_CLASS, FIT_BYTES = 3000, 10_000_000
 EPOCHS, RATE, LAYER_RATE, DECAY, EPSILON = 60, 0.05, 0.02, 1e-6, 1e-4
 NEGATIVE_WEIGHT = 1.5
 #: Logit of a bag that says nothing: words have to argue for toxicity, clean ones needn't argue against it.
@@ -97,11 +98,16 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         return Model(None, 0.0, prior)
     rng = np.random.default_rng(SEED)
     ids: dict[str, int] = {}
-    tokens = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t)] or [-1], np.int64) for t in texts]
-    bags = [grams(w) for w in ids]
-    bag_size = np.array([len(b) for b in bags] + [1])
+    tokens = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t)] or [-1], np.int32) for t in texts]
+    rows, sizes = array("i"), array("i")
+    for w in ids:
+        found = grams(w)
+        rows.extend(found)
+        sizes.append(len(found))
+    bag_rows = np.append(np.frombuffer(rows, np.int32), np.int32(BUCKETS))
+    bag_size = np.append(np.frombuffer(sizes, np.int32), np.int32(1)).astype(np.int64)
     bag_end = np.cumsum(bag_size)
-    bag_rows = np.fromiter((g for b in [*bags, [BUCKETS]] for g in b), np.int64, int(bag_end[-1]))
+    del rows, sizes
     doc_len = np.array([len(t) for t in tokens])
     doc_end = np.cumsum(doc_len)
     flat = np.concatenate(tokens)
@@ -139,7 +145,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
     for epoch in range(1, EPOCHS + 1):
         gap = table @ (layer[:, 1] - layer[:, 0])
-        word = np.add.reduceat(gap[bag_rows], bag_end - bag_size) / bag_size
+        word = (np.add.reduceat(gap[bag_rows], bag_end - bag_size) / bag_size).astype(np.float32)
         run = np.concatenate([[0.0], np.cumsum(word[flat], dtype=np.float64)])
         mean = (run[starts + width[start_doc]] - run[starts]) / width[start_doc]
         hits = np.flatnonzero(mean == np.maximum.reduceat(mean, first)[start_doc])
@@ -157,7 +163,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         np.add.at(spread, lo, slope / n)
         np.add.at(spread, hi, -slope / n)
         by_word = np.bincount(flat, np.cumsum(spread)[:-1], len(bag_size))
-        by_row = np.bincount(bag_rows, np.repeat(by_word / bag_size, bag_size), BUCKETS + 1).astype(np.float32)
+        by_row = np.bincount(bag_rows, np.repeat((by_word / bag_size).astype(np.float32), bag_size), BUCKETS + 1).astype(np.float32)
         joint = by_row @ table
         step("table", table, by_row[:, None] * (layer[:, 1] - layer[:, 0]) + DECAY * table, epoch, RATE)
         step("layer", layer, np.stack([-joint, joint], 1), epoch, LAYER_RATE)
