@@ -17,9 +17,12 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from functools import lru_cache
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -137,11 +140,13 @@ def segment(stretch: str, pieces: Pieces, rate: float = 0.0, key: int = 0) -> tu
 
 
 class _Stretches(dict):
+    """Stretch to its ids, packed as 32-bit integers so that a text's are joined without handling each."""
+
     def __init__(self, pieces: Pieces, rate: float, key: int, room: int):
         self.pieces, self.rate, self.key, self.room = pieces, rate, key, room
 
-    def __missing__(self, stretch: str) -> tuple[int, ...]:
-        found = segment(stretch, self.pieces, self.rate, self.key)
+    def __missing__(self, stretch: str) -> bytes:
+        found = array("i", segment(stretch, self.pieces, self.rate, self.key)).tobytes()
         if len(stretch) <= CACHED_LENGTH and len(self) < self.room:
             self[stretch] = found
         return found
@@ -152,37 +157,37 @@ class Encoder:
         self.pieces = Pieces(model)
         self.caches = [_Stretches(self.pieces, rate, (seed << 16) + v, CACHE // variants) for v in range(variants)]
 
+    def packed(self, text: str | None, variant: int = 0) -> bytes:
+        """The ids of a text as 32-bit integers."""
+        return b"".join(map(self.caches[variant].__getitem__, STRETCH.findall(" " + text))) if text else b""
+
     def encode(self, text: str | None, variant: int = 0) -> list[int] | None:
-        if text is None:
-            return None
-        if not text:
-            return []
-        return list(chain.from_iterable(map(self.caches[variant].__getitem__, STRETCH.findall(" " + text))))
+        return None if text is None else list(array("i", self.packed(text, variant)))
 
-    def decode(self, ids: list[int] | None) -> str | None:
+    def decode(self, ids) -> str | None:
         if ids is None:
             return None
         return b"".join(map(self.pieces.bytes_of.__getitem__, ids))[1:].decode("utf-8", "surrogatepass") if len(ids) else ""
 
 
+@lru_cache(maxsize=2)
+def worker_encoder(model: str, rate: float, seed: int, variants: int) -> Encoder:
+    """A worker's encoder, kept from task to task with what it remembers."""
+    return Encoder(model, rate, seed, variants)
+
+
 def with_tokens(df: DataFrame, text: str = "text", id_col: str = "doc_id", name: str = "token_ids", model: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
     """``df`` with each whole text's piece ids; the variant follows from seed and id."""
     ship(df.sparkSession)
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        import numpy as np
-
-        encoder = Encoder(model, rate, seed, variants)
+        encoder = worker_encoder(model, rate, seed, variants)
         for texts, chosen in batches:
-            ends, parts = [0], []
-            gaps = texts.is_null().to_numpy(zero_copy_only=False)
-            for t, v in zip(texts, chosen.to_pylist(), strict=True):
-                ids = encoder.encode(t.as_py(), v) or []
-                parts.append(np.array(ids, np.int32))
-                ends.append(ends[-1] + len(ids))
-            values = pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32))
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(gaps))
+            parts = [encoder.packed(t, v) for t, v in zip(texts.to_pylist(), chosen.to_pylist(), strict=True)]
+            ends = np.cumsum([0, *map(len, parts)]) // 4
+            values = pa.array(np.frombuffer(b"".join(parts), np.int32))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=texts.is_null())
 
     return df.withColumn(name, encode(F.col(text), F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(variants)).cast("int")))
 
@@ -193,7 +198,7 @@ def with_text(df: DataFrame, ids: str = "token_ids", name: str = "decoded", mode
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(model, 0.0)
+        encoder = worker_encoder(model, 0.0, 0, 1)
         for lists in batches:
             yield pa.array([encoder.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in lists], pa.string())
 
