@@ -73,7 +73,7 @@ def filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, NAME_CASES, "name string, a string, b string, c string").select("name", N.sanitize_filename(c).alias("clean"), N.stem_of(c).alias("stem"), N.with_extension(c, F.lit(".jpg")).alias("renamed"))
 
 
-@query("""SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base, lpad(page_id::VARCHAR, greatest(length(page_id::VARCHAR), 6), '0') AS label FROM
+@query("""SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base, lpad(page_id::VARCHAR, greatest(length(page_id::VARCHAR), 6)::INT, '0') AS label FROM
   (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[<>:"|?*]', '', 'g'), '^[.]+', '') AS url FROM pages)""")
 def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", N.sanitize_filename(F.col("url"), "").alias("base"), N.page_label(F.col("page_id"), F.lit(100000)).alias("label"))
@@ -136,7 +136,7 @@ def urlish_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, URLISH, "source string, l string").select("source", P.normalize_urlish(F.col("source")).alias("link"))
 
 
-@query("""SELECT c_custkey, 'WIFI:S:' || replace(c_name, '#', '#') || ';T:' || CASE WHEN c_nationkey % 3 = 0 THEN 'nopass' ELSE 'WPA;P:' || 'k\;' || c_custkey END || CASE WHEN c_nationkey % 2 = 0 THEN ';H:true' ELSE '' END || ';;' AS payload FROM customer""")
+@query(r"""SELECT c_custkey, 'WIFI:S:' || replace(c_name, '#', '#') || ';T:' || CASE WHEN c_nationkey % 3 = 0 THEN 'nopass' ELSE 'WPA;P:' || 'k\;' || c_custkey END || CASE WHEN c_nationkey % 2 = 0 THEN ';H:true' ELSE '' END || ';;' AS payload FROM customer""")
 def wifi_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     auth = F.when(F.col("c_nationkey") % 3 == 0, "nopass").otherwise("WPA")
     password = F.concat(F.lit("k;"), F.col("c_custkey").cast("string"))
