@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("text", "numbers")
+MODULES = ("text", "numbers", "relations", "kernels")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
