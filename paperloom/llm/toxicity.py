@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,9 +192,18 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
         return Model(None, 0.0, 0.0)
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame(sorted(set(chosen)), "id long, y int"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(wanted, "id").collect()
-    rows.sort(key=lambda r: (r["id"], r["text"] or ""))
-    return fit([r["text"] for r in rows], [r["y"] for r in rows])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(wanted, "id").select("id", "text", "y")
+    ship(spark)
+    found = rows.repartition(1).mapInArrow(_fit_task, "weights binary, bias double, prior double").first()
+    return Model(np.frombuffer(found["weights"], np.float32) if found["weights"] else None, found["bias"], found["prior"])
+
+
+def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fits in one task, which an executor that is lost passes on, so that the driver needs no room for the sample."""
+    rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["id"], r["text"] or ""))
+    model = fit([r["text"] for r in rows], [r["y"] for r in rows])
+    weights = None if model.weights is None else model.weights.tobytes()
+    yield pa.RecordBatch.from_pylist([{"weights": weights, "bias": model.bias, "prior": model.prior}], pa.schema([("weights", pa.binary()), ("bias", pa.float64()), ("prior", pa.float64())]))
 
 
 def with_score(df: DataFrame, model: Model, text: str = "text", name: str = "__pl_score") -> DataFrame:
