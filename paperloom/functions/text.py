@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: One whitespace class for Spark, Python's ``regex`` and RE2: Java's and RE2's own classes differ from each other.
 WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 NOT_WS = "[^" + WS[1:]
+#: The same for Python, which writes code points in another way.
+PY_WS, PY_NOT_WS = (re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: "\\u" + m[1].zfill(4), c) for c in (WS, NOT_WS))
 
 
 def trim(c: Column) -> Column:

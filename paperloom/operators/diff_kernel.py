@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from itertools import groupby
 
-import regex
-
-from paperloom.functions.text import NOT_WS, WS
+from paperloom.functions.text import PY_NOT_WS as NOT_WS
+from paperloom.functions.text import PY_WS as WS
 
 #: Most edits looked for, and the share of common lines under which two long texts count as unrelated.
 BUDGET, OVERLAP, LONG = 3000, 0.15, 400
-_ENDS = regex.compile("\r\n?")
-_RUN, _EDGE, _WORDS, _BLANK = regex.compile(f"{WS}+"), regex.compile(f"^{WS}+|{WS}+$"), regex.compile(f"{WS}+|{NOT_WS}+"), regex.compile(f"{WS}*")
+_ENDS = re.compile("\r\n?")
+_RUN, _EDGE, _WORDS, _BLANK = re.compile(f"{WS}+"), re.compile(f"^{WS}+|{WS}+$"), re.compile(f"{WS}+|{NOT_WS}+"), re.compile(f"{WS}*")
 
 Edit = tuple[str, int | None, int | None]
 
