@@ -150,7 +150,7 @@ ROMAN = (("m", 1000), ("cm", 900), ("d", 500), ("cd", 400), ("c", 100), ("xc", 9
 
 
 def roman(n: Column) -> Column:
-    left, out = n.cast("long"), F.lit("")
+    left, out = F.greatest(n.cast("long"), F.lit(1)), F.lit("")
     for sign, value in ROMAN:
         out = F.concat(out, F.repeat(F.lit(sign), F.greatest(F.lit(0), F.floor(left / value)).cast("int")))
         left = F.pmod(left, F.lit(value))
@@ -158,12 +158,13 @@ def roman(n: Column) -> Column:
 
 
 def ordered_marker(n: Column, depth: Column) -> Column:
-    """1. a. i. by depth, then again."""
-    return F.concat(F.when(F.pmod(depth, F.lit(3)) == 0, n.cast("string")).when(F.pmod(depth, F.lit(3)) == 1, letters(n)).otherwise(roman(n)), F.lit("."))
+    """1. a. i. by depth from 1, then again."""
+    style = F.pmod(depth - 1, F.lit(3))
+    return F.concat(F.when(style == 0, n.cast("string")).when(style == 1, letters(n)).otherwise(roman(n)), F.lit("."))
 
 
 def bullet_marker(depth: Column) -> Column:
-    return F.when(F.pmod(depth, F.lit(3)) == 0, "•").when(F.pmod(depth, F.lit(3)) == 1, "o").otherwise("-")
+    return F.element_at(F.array(F.lit("•"), F.lit("o"), F.lit("-")), (F.pmod(depth - 1, F.lit(3)) + 1).cast("int"))
 
 
 def escape_xml(c: Column) -> Column:

@@ -65,16 +65,16 @@ def screen_files(df: DataFrame, batch: str, order: str, size: str, per_file: int
     return df.join(folded, [batch, order])
 
 
-def list_depths(df: DataFrame, doc: str, order: str, indent: str, step: float = 6.0, deepest: int = 2) -> DataFrame:
-    """(doc, indent, depth): distinct indents in bands; a band starts where an indent is more than ``step`` beyond the last band's start."""
-    bands = F.aggregate(
-        F.array_sort(F.collect_set(F.col(indent).cast("double"))), F.array().cast("array<struct<indent:double,start:double,depth:int>>"),
-        lambda a, x: F.array_append(a, F.when(F.size(a) == 0, F.struct(x.alias("indent"), x.alias("start"), F.lit(0).alias("depth"))).when(
-            x - F.element_at(a, -1)["start"] > step, F.struct(x.alias("indent"), x.alias("start"), F.least(F.lit(deepest), F.element_at(a, -1)["depth"] + 1).alias("depth"))
-        ).otherwise(F.struct(x.alias("indent"), F.element_at(a, -1)["start"].alias("start"), F.element_at(a, -1)["depth"].alias("depth")))),
+def list_depths(df: DataFrame, doc: str, indent: str, step: float = 6.0, deepest: int = 2) -> DataFrame:
+    """Adds ``depth``: tiers start where an indent is more than ``step`` beyond the last tier; an item belongs to the last tier
+    that starts at its indent plus ``step`` or before."""
+    x = F.col(indent).cast("double")
+    tiers = F.aggregate(
+        F.array_sort(F.collect_set(x)), F.array().cast("array<double>"),
+        lambda a, v: F.when((F.size(a) == 0) | (v - F.element_at(a, -1) > step), F.array_append(a, v)).otherwise(a),
     )
-    tiers = df.groupBy(doc).agg(bands.alias("b")).select(doc, F.inline("b")).select(doc, F.col("indent").alias("_i"), "depth")
-    return df.join(tiers.withColumnRenamed(doc, "_d"), (F.col(doc) == F.col("_d")) & (F.col(indent).cast("double") == F.col("_i"))).drop("_d", "_i")
+    found = df.join(df.groupBy(doc).agg(tiers.alias("_tiers")), doc)
+    return found.withColumn("depth", F.least(F.lit(deepest), F.size(F.filter("_tiers", lambda t: t <= x + step)) - 1)).drop("_tiers")
 
 
 def estimate_recompress(df: DataFrame, doc: str, before: str, after: str, order: str, sample: int = 6) -> DataFrame:

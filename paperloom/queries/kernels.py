@@ -61,10 +61,11 @@ def patch_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.col("p") == "").alias("empty"), ((F.col("p") == "") == (diff.hunks(F.col("p")) == 0)).alias("agrees"))
 
 
-@query("SELECT item_id, upper(text) AS left_text, text AS right_text, 1 AS n_runs FROM benchmark WHERE text <> ''")
+@query("SELECT item_id, replace(upper(replace(text, 'ß', 'ss')), 'ẞ', 'SS') AS left_text, replace(text, 'ß', 'ss') AS right_text, 1 AS n_runs FROM benchmark WHERE text <> ''")
 def word_diff_ignoring_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = table(spark, sf_dir, "benchmark").select("item_id", diff.word_segments(F.upper("text"), F.col("text"), case=True).alias("s"))
+    plain = F.replace(F.col("text"), F.lit("ß"), F.lit("ss"))  # whose capital isn't one letter everywhere
+    found = table(spark, sf_dir, "benchmark").select("item_id", diff.word_segments(F.upper(plain), plain, case=True).alias("s"))
     joined = lambda side: F.array_join(F.transform(f"s.{side}", lambda x: x["text"]), "")
     return found.select("item_id", joined("left").alias("left_text"), joined("right").alias("right_text"), F.size("s.left").alias("n_runs"))
 
@@ -72,3 +73,53 @@ def word_diff_ignoring_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def paired_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.pair_changes(diff.exploded_edits(neighbours(spark, sf_dir), "doc_id", "left", "right"), "doc_id")
+
+
+def laid_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each of the benchmark's items as a page of a document: a heading, its lines as paragraphs of their own, and a page number."""
+    found = table(spark, sf_dir, "benchmark").select(F.floor(F.col("item_id") / 5).alias("doc_id"), (F.col("item_id") % 5).cast("int").alias("page"), T.split_lines(F.col("text")).alias("l"))
+    body = found.select("doc_id", "page", F.posexplode("l").alias("seq", "text")).select("doc_id", "page", "seq", "text", F.lit(64.0).alias("x"), (700.0 - 30 * F.col("seq")).alias("y"), (5.0 * F.length("text")).alias("width"), F.lit(11.0).alias("size"))
+    head = found.select("doc_id", "page", F.lit(-1).alias("seq"), F.concat(F.lit("Part "), F.col("page").cast("string")).alias("text"), F.lit(64.0), F.lit(730.0), F.lit(60.0), F.lit(20.0))
+    foot = found.select("doc_id", "page", F.lit(999).alias("seq"), F.concat(F.lit("Page "), F.col("page").cast("string")).alias("text"), F.lit(280.0), F.lit(30.0), F.lit(40.0), F.lit(9.0))
+    items = body.union(head).union(foot).withColumn("font", F.lit("Calibri"))
+    return items, found.select("doc_id", "page", F.lit(595.28).alias("width"), F.lit(841.89).alias("height"), F.lit(0).alias("image_count"))
+
+
+@query("""WITH l AS (SELECT item_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT item_id, string_split(text, chr(10)) AS l FROM benchmark)),
+n AS (SELECT item_id, count(*) FILTER (line <> '') AS n FROM l GROUP BY item_id)
+SELECT item_id // 5 AS doc_id, (item_id % 5)::INT AS page, 'heading' AS kind, 1 AS n FROM n UNION ALL SELECT item_id // 5, (item_id % 5)::INT, 'paragraph', n FROM n WHERE n > 0""")
+def inferred_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings and paragraphs come back; page numbers are furniture."""
+    from paperloom.operators import infer
+
+    found = infer.documents(*laid_out(spark, sf_dir))
+    return found.groupBy("doc_id", "page", "kind").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("SELECT (item_id // 5)::BIGINT AS doc_id, (item_id % 5)::INT AS page, false AS scanned, 0.0::DOUBLE AS unmapped FROM benchmark")
+def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.operators.furniture import page_quality as quality
+
+    return quality(*laid_out(spark, sf_dir))
+
+
+STRIPPED = "regexp_replace(regexp_replace({}, '<[^>]*>', '', 'g'), '\\s+', '', 'g')"
+
+
+@query(f"SELECT page_id, {STRIPPED.format('html')} AS squeezed FROM (SELECT page_id, replace(replace(html, '&quot;', '\"'), '&amp;', '&') AS html FROM pages)")
+def markup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks hold all text of a page but white space, in order."""
+    from paperloom.operators import markup
+
+    ship(spark)
+    found = table(spark, sf_dir, "pages").select("page_id", markup.blocks(F.col("html")).alias("b"))
+    joined = F.array_join(F.transform("b", lambda x: F.coalesce(x["text"], F.lit(""))), "")
+    return found.select("page_id", F.regexp_replace(joined, r"\s+", "").alias("squeezed"))
+
+
+@query()
+def markup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.operators import markup
+
+    found = markup.exploded(table(spark, sf_dir, "pages"), "page_id", "html")
+    return found.groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))

@@ -65,13 +65,13 @@ def screen_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.screen_files(found, "source", "doc_id", "n_chars", 6000, 40000).select("source", "doc_id", "verdict")
 
 
-DEPTHS = [(1, 0, 82.0, 0), (1, 1, 100.0, 1), (1, 2, 104.0, 1), (1, 3, 118.0, 2), (1, 4, 140.0, 2), (1, 5, 82.0, 0), (2, 0, 50.0, 0), (2, 1, 56.0, 0), (2, 2, 62.5, 1)]
+DEPTHS = [(1, 0, 82.0, 0), (1, 1, 100.0, 1), (1, 2, 104.0, 1), (1, 3, 118.0, 2), (1, 4, 140.0, 2), (1, 5, 82.0, 0), (2, 0, 50.0, 0), (2, 1, 56.0, 0), (2, 2, 62.5, 1), (3, 0, 82.0, 0), (3, 1, 88.0, 1), (3, 2, 90.0, 1)]
 
 
 @query(f"SELECT doc, seq, depth FROM {sql_values(DEPTHS, 'doc, seq, indent, depth')}")
 def list_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = values(spark, DEPTHS, "doc int, seq int, indent double, d int").drop("d")
-    return overlap.list_depths(found, "doc", "seq", "indent").select("doc", "seq", "depth")
+    return overlap.list_depths(found, "doc", "indent").select("doc", "seq", "depth")
 
 
 @query("""WITH r AS (SELECT lang, n_chars AS b, n_chars // 2 + doc_id % 3 AS a, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents),

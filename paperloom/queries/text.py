@@ -121,7 +121,7 @@ def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, MARKER_CASES, "source string, expected string").select("source", T.marker_of(F.col("source")).alias("marker"))
 
 
-ORDER_CASES = [(1, 0, "1."), (3, 1, "c."), (27, 1, "aa."), (703, 1, "aaa."), (4, 2, "iv."), (1994, 2, "mcmxciv."), (12, 3, "12."), (28, 4, "ab.")]
+ORDER_CASES = [(1, 1, "1."), (3, 2, "c."), (27, 2, "aa."), (703, 2, "aaa."), (4, 3, "iv."), (1994, 3, "mcmxciv."), (12, 4, "12."), (28, 5, "ab."), (0, 3, "i.")]
 
 
 @query(f"SELECT n, depth, expected AS marker FROM {sql_values(ORDER_CASES, 'n, depth, expected')}")
