@@ -112,11 +112,11 @@ def parse_page_range(expression: Column, total: Column) -> Column:
 def detect_container(content: Column) -> Column:
     """jpeg, png, gif, webp, heic, avif, tiff or null by the first bytes."""
     head = F.hex(F.substring(content, 1, 12))
-    brand = F.lower(F.decode(F.substring(content, 9, 4), "ISO-8859-1"))
+    brand = F.decode(F.substring(content, 9, 4), "ISO-8859-1")
     boxed = (F.substring(head, 9, 8) == "66747970") & (F.length(content) > 12)
     return (
         F.when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("52494646") & head.endswith("57454250") & (F.length(content) >= 12), "webp")
-        .when(head.startswith("474946"), "gif").when(boxed & brand.isin("avif", "avis"), "avif").when(boxed & brand.isin("heic", "heix", "hevc", "hevx", "mif1", "msf1"), "heic")
+        .when(head.startswith("47494638"), "gif").when(boxed & brand.isin("avif", "avis"), "avif").when(boxed & brand.isin("heic", "heix", "hevc", "hevx", "heim", "heis", "hevm", "hevs", "mif1", "msf1"), "heic")
         .when((F.length(content) > 4) & (head.startswith("49492A00") | head.startswith("4D4D002A")), "tiff")
     )
 

@@ -216,17 +216,22 @@ def block_text(block: dict) -> str:
 
 def note_id(anchor: str | None, back: bool = False) -> str | None:
     """The note that an anchor points to, or with ``back`` comes back from."""
-    found = re.match(rf"^#(?:foot|end)note-{'ref-' if back else ''}([A-Za-z0-9_-]+)$", anchor or "")
-    return found.group(1) if found and (back or not found.group(1).startswith("ref-")) else None
+    found = re.fullmatch(rf"#footnote-{'ref-' if back else ''}([A-Za-z0-9_]+)", anchor or "")
+    return found.group(1) if found else None
+
+
+def notes_in(block: dict) -> list[str]:
+    """Distinct notes that a block refers to, in order."""
+    return list(dict.fromkeys(i for r in block.get("runs", ()) if (i := note_id(r.get("anchor")))))
 
 
 def split_notes(blocks: list[dict]) -> tuple[list[dict], dict[str, dict]]:
-    """(body, notes by id): list items that end with a way back to their mark are notes."""
+    """(body, notes by id): blocks with a way back to their mark are notes, and lose it."""
     body, notes = [], {}
     for b in blocks:
-        backs = [i for r in b.get("runs", ()) if (i := note_id(r.get("anchor"), True))] if b["kind"] == "listItem" else []
-        if backs:
-            notes[backs[-1]] = b | {"kind": "paragraph", "runs": tidy([r for r in b["runs"] if not note_id(r.get("anchor"), True)])}
-        else:
+        back = next((i for r in b.get("runs", ()) if (i := note_id(r.get("anchor"), True))), None)
+        if back is None:
             body.append(b)
+        else:
+            notes[back] = b | {"runs": [r for r in b["runs"] if note_id(r.get("anchor"), True) is None]}
     return body, notes
