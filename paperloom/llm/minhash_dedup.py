@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.plans.components import connected_components
-from paperloom.plans.workspace import broadcast_if_small, discard, save, ship
+from paperloom.plans.workspace import broadcast_if_small, discard, give_back, save, ship
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
@@ -35,7 +35,7 @@ BROADCAST_ROWS = 1_000_000
 #: Largest bucket whose pairs are joined, and classes in a block of a larger one.
 SMALL, TILE = 16, 384
 #: Words remembered by a Python worker, and shingles hashed at once.
-WORD_CACHE, BLOCK = 400_000, 1 << 15
+WORD_CACHE, BLOCK = 250_000, 1 << 15
 SEED = 0x5EED_0001
 
 U64 = np.uint64
@@ -148,6 +148,8 @@ def _sketcher(k: int):
                         bits[i], bands[i] = x, y
                         fp[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(bits, schema.field("bits").type), pa.array(bands, schema.field("bands").type)], schema=schema)
+        del cache
+        give_back()
 
     return sketch
 
@@ -164,6 +166,8 @@ def _set_maker(k: int):
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
                 values = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["node", "members"])
+        del cache
+        give_back()
 
     return sets
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.plans.workspace import ship
+from paperloom.plans.workspace import give_back, ship
 
 BUCKETS, DIMS, WINDOW = 1 << 18, 8, 4
 SHORT, LONG = 3, 5
@@ -40,6 +40,8 @@ NEGATIVE_WEIGHT = 1.5
 START_BIAS = -4.0
 #: Texts' worth of prior that a row's share of toxic texts is shrunk by; log odds that count as clear.
 SHRINK, CLEAR = 5.0, 1.0
+#: Words whose bags are summed at once.
+FIT_WORDS = 50_000
 SEED = 0x5EED_0008
 WORD_CACHE, GRAM_CACHE = 300_000, 300_000
 _WORD = re.compile(r"[^\W_]+(?:['@$!*][^\W_]+)*")
@@ -91,6 +93,16 @@ class Model:
         return score
 
 
+def _add_up(rows: np.ndarray, by_word: np.ndarray, bag_size: np.ndarray, bag_end: np.ndarray) -> np.ndarray:
+    """Sums of words' values over the rows of their bags, some words at a time."""
+    out = np.zeros(BUCKETS + 1)
+    for at in range(0, len(bag_size), FIT_WORDS):
+        size = bag_size[at : at + FIT_WORDS]
+        lo, hi = bag_end[at] - size[0], bag_end[at + len(size) - 1]
+        out += np.bincount(rows[lo:hi], np.repeat(by_word[at : at + FIT_WORDS], size), BUCKETS + 1)
+    return out
+
+
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Full-batch gradient descent over embeddings and softmax at once."""
     y = np.asarray(labels, np.float64)
@@ -112,20 +124,24 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     doc_len = np.array([len(t) for t in tokens])
     doc_end = np.cumsum(doc_len)
     flat = np.concatenate(tokens)
-    flat[flat < 0] = len(ids)  # the empty bag
-    doc_of = np.repeat(np.arange(len(y)), doc_len)
+    n_words = len(ids)
+    flat[flat < 0] = n_words  # the empty bag
+    doc_of = np.repeat(np.arange(len(y), dtype=np.int32), doc_len)
+    del tokens, ids
     width = np.minimum(WINDOW, doc_len)
     start_ok = np.arange(len(flat)) <= (doc_end - width)[doc_of]
-    starts = np.flatnonzero(start_ok)
+    starts = np.flatnonzero(start_ok).astype(np.int32)
     start_doc = doc_of[starts]
     first = np.searchsorted(start_doc, np.arange(len(y)))
+    start_width = width.astype(np.int32)[start_doc]
     spans, clean = np.diff(np.append(first, len(starts))), np.flatnonzero(y == 0)
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 * NEGATIVE_WEIGHT / max((1 - y).sum(), 1))
 
     # Start: a row's embedding points where its share of toxic texts does, shrunk towards the prior and only if clear.
-    pairs = np.unique(doc_of * len(bag_size) + flat)
+    pairs = np.unique(doc_of.astype(np.int64) * len(bag_size) + flat)
     of_doc, of_word = pairs // len(bag_size), pairs % len(bag_size)
-    seen = [np.bincount(bag_rows, np.repeat(np.bincount(of_word[y[of_doc] == c], minlength=len(bag_size)), bag_size), BUCKETS + 1) for c in (0, 1)]
+    seen = [_add_up(bag_rows, np.bincount(of_word[y[of_doc] == c], minlength=len(bag_size)), bag_size, bag_end) for c in (0, 1)]
+    del pairs, of_doc, of_word
     odds = np.log((seen[1] + SHRINK * prior) / (seen[0] + SHRINK * (1 - prior)) * (1 - prior) / prior)
     start = WINDOW * np.maximum(odds - CLEAR, 0)
     start[-1] = 0
@@ -148,7 +164,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         gap = table @ (layer[:, 1] - layer[:, 0])
         word = (np.add.reduceat(gap[bag_rows], bag_end - bag_size) / bag_size).astype(np.float32)
         run = np.concatenate([[0.0], np.cumsum(word[flat], dtype=np.float64)])
-        mean = (run[starts + width[start_doc]] - run[starts]) / width[start_doc]
+        mean = ((run[starts + start_width] - run[starts]) / start_width).astype(np.float32)
         hits = np.flatnonzero(mean == np.maximum.reduceat(mean, first)[start_doc])
         best = np.full(len(y), -1)
         best[start_doc[hits][::-1]] = hits[::-1]
@@ -164,7 +180,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         np.add.at(spread, lo, slope / n)
         np.add.at(spread, hi, -slope / n)
         by_word = np.bincount(flat, np.cumsum(spread)[:-1], len(bag_size))
-        by_row = np.bincount(bag_rows, np.repeat((by_word / bag_size).astype(np.float32), bag_size), BUCKETS + 1).astype(np.float32)
+        by_row = _add_up(bag_rows, by_word / bag_size, bag_size, bag_end).astype(np.float32)
         joint = by_row @ table
         step("table", table, by_row[:, None] * (layer[:, 1] - layer[:, 0]) + DECAY * table, epoch, RATE)
         step("layer", layer, np.stack([-joint, joint], 1), epoch, LAYER_RATE)
@@ -200,8 +216,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
 
 def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fits in one task, which an executor that is lost passes on, so that the driver needs no room for the sample."""
-    rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["id"], r["text"] or ""))
-    model = fit([r["text"] for r in rows], [r["y"] for r in rows])
+    rows = sorted(((r["id"], r["text"] or "", r["y"]) for batch in batches for r in batch.to_pylist()))
+    model = fit([r[1] for r in rows], [r[2] for r in rows])
+    del rows
+    give_back()
     weights = None if model.weights is None else model.weights.tobytes()
     yield pa.RecordBatch.from_pylist([{"weights": weights, "bias": model.bias, "prior": model.prior}], pa.schema([("weights", pa.binary()), ("bias", pa.float64()), ("prior", pa.float64())]))
 
@@ -217,5 +235,7 @@ def with_score(df: DataFrame, model: Model, text: str = "text", name: str = "__p
         one = sent.value.scorer()
         for texts in batches:
             yield pd.Series([one(t) for t in texts], dtype="float64")
+        del one
+        give_back()
 
     return df.withColumn(name, score(F.col(text)))
