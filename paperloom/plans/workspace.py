@@ -8,6 +8,8 @@ jobs read only the columns they need.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -83,6 +85,15 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(rows, ARROW_ROWS)
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the machine: workers live on, and what one task needed is not there for the next."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only after counting: beyond ``max_rows`` rows the join shuffles instead."""
     from pyspark.sql import functions as F
