@@ -317,7 +317,7 @@ def read_blocks(document_xml: str | None, numbering: dict[str, bool] | None = No
                 out.append({"kind": "table", "rows": rows})
             elif child.tag == w("p"):
                 found = runs(child)
-                if not found:
+                if not "".join(r["text"] for r in found).strip():
                     continue
                 style = get(child.find(f"{w('pPr')}/{w('pStyle')}"), "val", "")
                 heading = re.match(r"(?i)heading ?(\d)", style)

@@ -123,3 +123,79 @@ def markup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = markup.exploded(table(spark, sf_dir, "pages"), "page_id", "html")
     return found.groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, content): a JPEG for each part with its name as a comment and an Exif block that turns it."""
+    name = F.encode(F.col("p_name"), "UTF-8")
+    two = lambda n: F.unhex(F.lpad(F.hex(n), 4, "0"))
+    turn = F.col("p_size") % 8 + 1
+    tiff = F.concat(F.unhex(F.lit("4d4d002a000000080001011200030000000100")), F.unhex(F.lpad(F.hex(turn), 2, "0")), F.unhex(F.lit("000000000000")))
+    exif = F.concat(F.unhex(F.lit("ffe1")), two(F.length(tiff) + 8), F.unhex(F.lit("457869660000")), tiff)
+    comment = F.concat(F.unhex(F.lit("fffe")), two(F.length(name) + 2), name)
+    file = F.concat(F.unhex(F.lit("ffd8ffe000104a46494600010100000100010000")), exif, comment, F.unhex(F.lit("ffda00080101003f00")), name, F.unhex(F.lit("ffd9")))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", file.alias("content"))
+
+
+@query("SELECT p_partkey, 7 AS n_segments, true AS tiled, 'exif,comment' AS kinds FROM part")
+def image_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments lie end to end from the first byte to the last."""
+    from paperloom.operators import imgmeta
+
+    found = pictures(spark, sf_dir).select("p_partkey", F.length("content").alias("n"), imgmeta.walk(F.col("content"))["segments"].alias("s"))
+    end = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: F.when(a == x["start"], x["end"]).otherwise(-1))
+    kinds = F.array_join(F.filter(F.transform("s", lambda x: x["kind"]), lambda k: k != "structural"), ",")
+    return found.select("p_partkey", F.size("s").alias("n_segments"), (end == F.col("n")).alias("tiled"), kinds.alias("kinds"))
+
+
+TURNED = "CASE p_size % 8 + 1 WHEN 1 THEN 'Normal' WHEN 2 THEN 'Mirrored' WHEN 3 THEN 'Rotated 180°' WHEN 4 THEN 'Mirrored, rotated 180°' WHEN 5 THEN 'Mirrored, rotated 90° CCW' WHEN 6 THEN 'Rotated 90° CW' WHEN 7 THEN 'Mirrored, rotated 90° CW' ELSE 'Rotated 90° CCW' END"
+
+
+@query(f"SELECT p_partkey, 'Orientation' AS label, {TURNED} AS value, false AS sensitive FROM part UNION ALL SELECT p_partkey, 'Comment', p_name, true FROM part")
+def image_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.operators import imgmeta
+
+    return imgmeta.metadata_fields(pictures(spark, sf_dir), "p_partkey").select("p_partkey", "label", "value", "sensitive")
+
+
+@query("SELECT p_partkey, true AS pixels_kept, nullif(p_size % 8 + 1, 1)::INT AS orientation, (length(p_name) + 4 + CASE WHEN p_size % 8 = 0 THEN 36 ELSE 0 END)::BIGINT AS bytes_removed FROM part")
+def image_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.operators import imgmeta
+
+    ship(spark)
+    found = pictures(spark, sf_dir).select("p_partkey", imgmeta.strip(F.col("content")).alias("s"))
+    return found.select("p_partkey", "s.pixels_kept", "s.orientation", "s.bytes_removed")
+
+
+@query("SELECT s_suppkey, CASE WHEN length(s_name) <= 20 THEN 1 ELSE 2 END AS version, true AS framed FROM supplier")
+def qr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' names in capitals, as codes with their finder patterns in place."""
+    from paperloom.operators import qr
+
+    ship(spark)
+    found = table(spark, sf_dir, "supplier").select("s_suppkey", qr.qr(F.translate(F.upper("s_name"), "#", "-"), "M").alias("m"))
+    dark = lambda r, c: qr.is_dark(F.col("m"), r, c)
+    last = F.col("m.size") - 1
+    framed = dark(F.lit(0), F.lit(0)) & dark(F.lit(0), last) & dark(last, F.lit(0)) & ~dark(F.lit(1), F.lit(1)) & dark(F.lit(3), F.lit(3)) & dark(last - 7, F.lit(8)) & (F.length("m.data") == F.col("m.size") * F.col("m.size"))
+    return found.select("s_suppkey", "m.version", framed.alias("framed"))
+
+
+@query("""WITH l AS (SELECT item_id, unnest(l) AS line FROM (SELECT item_id, string_split(text, chr(10)) AS l FROM benchmark)),
+n AS (SELECT item_id // 5 AS doc_id, count(*) FILTER (line <> '') AS n, count(DISTINCT item_id) AS pages FROM l GROUP BY 1)
+SELECT doc_id::BIGINT AS doc_id, 'heading' AS kind, pages AS n FROM n UNION ALL SELECT doc_id, 'paragraph', n FROM n""")
+def office_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inferred blocks, written as a package a document and read back."""
+    from paperloom.operators import infer, office
+
+    packages = office.write_packages(infer.documents(*laid_out(spark, sf_dir)))
+    found = packages.select("doc_id", F.inline(office.read(F.col("content"))["blocks"]))
+    return found.groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT item_id // 5 AS doc_id, 595.3::DOUBLE AS width, 841.9::DOUBLE AS height, 56.7::DOUBLE AS margin, 1 AS columns, 0 AS missed FROM benchmark GROUP BY 1")
+def office_setup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.operators import infer, office
+
+    packages = office.write_packages(infer.documents(*laid_out(spark, sf_dir)))
+    found = packages.select("doc_id", office.read(F.col("content")).alias("r"))
+    return found.select("doc_id", F.round("r.setup.width", 4).alias("width"), F.round("r.setup.height", 4).alias("height"), F.round("r.setup.margin", 4).alias("margin"), "r.setup.columns", "r.missed")
