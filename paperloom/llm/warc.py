@@ -197,7 +197,11 @@ class WarcSource(DataSource):
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = True, verify: bool = False) -> DataFrame:
-    """The records under ``path``: a file or a folder of .warc or .gz files, on any store that Arrow's file systems reach."""
+    """The records under ``path``: a file or a folder of .warc or .gz files, on any store that Arrow's file systems reach.
+
+    Spark keeps the predicates that were pushed down with the table it made here, also for later queries of it; so call this
+    anew for each set of predicates.
+    """
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
@@ -208,8 +212,8 @@ def page_id(record_id: Column) -> Column:
     return F.regexp_extract(record_id, f"<{ID}(-?[0-9]+)>", 1).try_cast("long")
 
 
-def with_payloads(records: DataFrame) -> DataFrame:
-    """Gives revisits the payload of the response that they refer to."""
-    full = records.where("warc_type = 'response'").select(F.col("record_id").alias("__pl_id"), F.col("payload").alias("__pl_payload")).dropDuplicates(["__pl_id"])
-    found = records.join(full, F.col("refers_to") == F.col("__pl_id"), "left")
+def read_whole(spark: SparkSession, path: str) -> DataFrame:
+    """The records with revisits given the payload of the response that they refer to."""
+    full = read_archive(spark, path).where("warc_type = 'response'").select(F.col("record_id").alias("__pl_id"), F.col("payload").alias("__pl_payload")).dropDuplicates(["__pl_id"])
+    found = read_archive(spark, path).join(full, F.col("refers_to") == F.col("__pl_id"), "left")
     return found.withColumn("payload", F.coalesce("__pl_payload", "payload")).drop("__pl_id", "__pl_payload")
