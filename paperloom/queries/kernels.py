@@ -199,3 +199,23 @@ def office_setup(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = office.write_packages(infer.documents(*laid_out(spark, sf_dir)))
     found = packages.select("doc_id", office.read(F.col("content")).alias("r"))
     return found.select("doc_id", F.round("r.setup.width", 4).alias("width"), F.round("r.setup.height", 4).alias("height"), F.round("r.setup.margin", 4).alias("margin"), "r.setup.columns", "r.missed")
+
+
+@query(f"SELECT page_id, {STRIPPED.format('html')} AS squeezed FROM (SELECT page_id, replace(replace(regexp_replace(html, '<li><a', '<li>•<a', 'g'), '&quot;', '\"'), '&amp;', '&') AS html FROM pages)")
+def paginated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of a page's blocks is drawn, in order, list items with their bullets."""
+    from paperloom.operators import markup, paginate
+
+    ship(spark)
+    found = table(spark, sf_dir, "pages").select("page_id", paginate.drawn(markup.blocks(F.col("html"))).alias("d"))
+    joined = F.array_join(F.transform(F.filter("d", lambda x: x["kind"] == "line"), lambda x: x["text"]), "")
+    return found.select("page_id", F.regexp_replace(joined, r"\s+", "").alias("squeezed"))
+
+
+@query()
+def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.operators import markup, paginate
+
+    ship(spark)
+    found = table(spark, sf_dir, "pages").select("page_id", F.inline(paginate.drawn(markup.blocks(F.col("html")), columns=2, column_gap=14.0)))
+    return found.groupBy("page_id", "page").agg(F.count("*").alias("n_items"), F.round(F.min("y"), 6).alias("lowest"), F.round(F.max(F.col("x") + F.col("width")), 6).alias("rightmost"))

@@ -109,6 +109,8 @@ class FilesSink(DataSource):
 
 
 def read_parts(spark: SparkSession, path: str, glob: str = "*.docx") -> DataFrame:
+    """Parts of the packages under ``path``. Spark keeps predicates that were pushed down for later queries of the same table,
+    so call this anew for each."""
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PartsSource)
