@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paperloom.plans.workspace import save
+from paperloom.plans.workspace import broadcast_if_small, save
 
 #: Counters of each sketch and, at once, the most winners that can be broadcast (56 bytes each).
 TRACKED = 2048
 #: Sketches are merged in this many groups before the last merge, so that no task reads one from every partition.
 MERGERS = 64
+#: Beyond so many rows (40 bytes each) the list of rows that go is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 WINNER = "digest binary, best struct<id: bigint, uid: bigint>, n bigint"
 
 
@@ -49,13 +51,19 @@ def heavy_digests(rows: DataFrame, tracked: int = TRACKED) -> DataFrame:
     return spark.createDataFrame(exact.where(F.col("n") > least).collect(), WINNER)
 
 
-def group_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", tracked: int = TRACKED) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
+def _decided(df: DataFrame, text: str, id_col: str, tracked: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, heavy): each row's digest, id, uid, best and n, and the winners among digests."""
     rows = save(with_digest(df, text).select(F.col(id_col).cast("long").alias("id"), F.col("__pl_digest").alias("digest"), F.monotonically_increasing_id().alias("uid")), "digests")
-    heavy = F.broadcast(heavy_digests(rows, tracked))
+    winners = heavy_digests(rows, tracked)
+    heavy = F.broadcast(winners)
     alike = W.partitionBy("digest")
     light = rows.join(heavy, "digest", "left_anti").select("*", F.max(F.struct("id", "uid")).over(alike).alias("best"), F.count("*").over(alike).alias("n"))
-    both = rows.join(heavy, "digest").select(light.columns).union(light)
+    return rows.join(heavy, "digest").select(light.columns).union(light), winners
+
+
+def group_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", tracked: int = TRACKED) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
+    both, _ = _decided(df, text, id_col, tracked)
     return both.select(
         F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("uid") == F.col("best.uid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
@@ -65,11 +73,18 @@ def group_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id",
 def drop_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", tracked: int = TRACKED) -> DataFrame:
     """The rows of ``df`` that stay, whole.
 
-    Rows of frequent digests go on the map side unless they have the id that stays; texts of the rest meet once.
+    Only digests are shuffled. Rows of frequent digests go on the map side unless they have the id that stays; other rows
+    that go are listed by id and digest, and that list is broadcast up to ``BROADCAST_ROWS`` and joined by a shuffle beyond.
+    Where a row that stays is repeated with its id, its texts meet once more.
     """
-    marked = with_digest(df, text)
-    rows = save(marked.select(F.col(id_col).cast("long").alias("id"), F.col("__pl_digest").alias("digest"), F.monotonically_increasing_id().alias("uid")), "digests")
-    heavy = heavy_digests(rows, tracked).select(F.col("digest").alias("__pl_digest"), F.col("best.id").alias("__pl_keep"), F.lit(True).alias("__pl_heavy"))
-    left = marked.join(F.broadcast(heavy), "__pl_digest", "left").where(F.col("__pl_heavy").isNull() | F.col(id_col).cast("long").eqNullSafe(F.col("__pl_keep")))
-    best = W.partitionBy("__pl_digest").orderBy(F.col(id_col).desc_nulls_last())
-    return left.withColumn("__pl_n", F.row_number().over(best)).where("__pl_n = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    both, winners = _decided(df, text, id_col, tracked)
+    heavy = winners.select(F.col("digest").alias("__pl_digest"), F.col("best.id").alias("__pl_keep"), F.lit(True).alias("__pl_heavy"))
+    doc = F.col(id_col).cast("long")
+    left = with_digest(df, text).join(F.broadcast(heavy), "__pl_digest", "left").where(F.col("__pl_heavy").isNull() | doc.eqNullSafe(F.col("__pl_keep")))
+    goes = both.where("n > 1").groupBy("digest", "id").agg(F.max(F.col("uid") == F.col("best.uid")).alias("stays"), F.count("*").alias("rows"))
+    goes = save(goes.where("not stays or rows > 1").join(F.broadcast(winners.select("digest", F.lit(True).alias("heavy"))), "digest", "left"), "goes")
+    gone = goes.where("not stays and heavy is null").select(F.col("digest").alias("__pl_gone"), F.col("id").alias("__pl_id"))
+    left = left.join(broadcast_if_small(gone, BROADCAST_ROWS), (F.col("__pl_digest") == F.col("__pl_gone")) & doc.eqNullSafe(F.col("__pl_id")), "left_anti")
+    if goes.where("stays").limit(1).count():
+        left = left.withColumn("__pl_n", F.row_number().over(W.partitionBy("__pl_digest").orderBy(F.lit(0)))).where("__pl_n = 1")
+    return left.select(*[F.col(f"`{c}`") for c in df.columns])
