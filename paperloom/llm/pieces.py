@@ -153,9 +153,9 @@ class _Stretches(dict):
 
 
 class Encoder:
-    def __init__(self, model: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, model: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, room: int = CACHE):
         self.pieces = Pieces(model)
-        self.caches = [_Stretches(self.pieces, rate, (seed << 16) + v, CACHE // variants) for v in range(variants)]
+        self.caches = [_Stretches(self.pieces, rate, (seed << 16) + v, room // variants) for v in range(variants)]
 
     def packed(self, text: str | None, variant: int = 0) -> bytes:
         """The ids of a text as 32-bit integers."""
@@ -171,18 +171,19 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def worker_encoder(model: str, rate: float, seed: int, variants: int) -> Encoder:
+def worker_encoder(model: str, rate: float, seed: int, variants: int, room: int) -> Encoder:
     """A worker's encoder, kept from task to task with what it remembers."""
-    return Encoder(model, rate, seed, variants)
+    return Encoder(model, rate, seed, variants, room)
 
 
-def with_tokens(df: DataFrame, text: str = "text", id_col: str = "doc_id", name: str = "token_ids", model: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
-    """``df`` with each whole text's piece ids; the variant follows from seed and id."""
+def with_tokens(df: DataFrame, text: str = "text", id_col: str = "doc_id", name: str = "token_ids", model: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, room: int = CACHE) -> DataFrame:
+    """``df`` with each whole text's piece ids; the variant follows from seed and id. ``room``: stretches that a worker remembers,
+    at about 250 bytes each."""
     ship(df.sparkSession)
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        encoder = worker_encoder(model, rate, seed, variants)
+        encoder = worker_encoder(model, rate, seed, variants, room)
         for texts, chosen in batches:
             parts = [encoder.packed(t, v) for t, v in zip(texts.to_pylist(), chosen.to_pylist(), strict=True)]
             ends = np.cumsum([0, *map(len, parts)]) // 4
@@ -198,7 +199,7 @@ def with_text(df: DataFrame, ids: str = "token_ids", name: str = "decoded", mode
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = worker_encoder(model, 0.0, 0, 1)
+        encoder = worker_encoder(model, 0.0, 0, 1, 1)
         for lists in batches:
             yield pa.array([encoder.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in lists], pa.string())
 
