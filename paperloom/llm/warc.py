@@ -129,7 +129,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark passes where there are no files
+            return
         store, path = _filesystem(partition.path)
         raw = io.BufferedReader(store.open_input_file(path), 1 << 20)
         stream = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
