@@ -71,7 +71,7 @@ def _sweep() -> None:
 
 
 #: Rows of a batch that goes to a Python worker; whole texts may be long.
-ARROW_ROWS = 2000
+ARROW_ROWS = 500
 
 
 def ship(spark: SparkSession) -> None:
@@ -87,7 +87,10 @@ def ship(spark: SparkSession) -> None:
 
 def give_back() -> None:
     """Return a worker's freed memory to the machine: workers live on, and what one task needed is not there for the next."""
+    import pyarrow as pa
+
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
