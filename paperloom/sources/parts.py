@@ -55,7 +55,9 @@ class PartsReader(DataSourceReader):
     def wanted(self, name: str) -> bool:
         return all(name in v if how == "in" else name.startswith(v) if how == "starts" else name.endswith(v) for how, v in self.tests)
 
-    def read(self, partition: Package) -> Iterator[tuple]:
+    def read(self, partition: Package | None) -> Iterator[tuple]:
+        if partition is None:  # what Spark passes where there are no files
+            return
         store, path = _store(partition.path)
         with store.open_input_file(path) as stream:
             try:
