@@ -77,7 +77,7 @@ def flatten_table(cells: str = "cells"):
 
 def describe(found: DataFrame) -> DataFrame:
     """(doc_id, said): what was recovered, in one sentence."""
-    counts = found.groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("heading", "paragraph", "list", "table")])
-    part = lambda k, one, many: F.when(F.col(k) > 0, F.concat(F.col(k).cast("string"), F.when(F.col(k) == 1, f" {one}").otherwise(f" {many}")))
-    parts = F.array_compact(F.array(part("heading", "heading", "headings"), part("paragraph", "paragraph", "paragraphs"), part("list", "list item", "list items"), part("table", "table", "tables")))
-    return counts.select("doc_id", F.when(F.size(parts) == 0, "Nothing was recovered.").otherwise(F.concat(F.lit("Recovered "), F.array_join(parts, ", "), F.lit("."))).alias("said"))
+    from paperloom.functions.reports import describe_recovery
+
+    counts = found.groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("heading", "paragraph", "list", "table")], F.count_distinct("page").alias("pages"))
+    return describe_recovery(counts)

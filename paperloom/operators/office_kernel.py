@@ -341,6 +341,37 @@ def read_blocks(document_xml: str | None, numbering: dict[str, bool] | None = No
     return out
 
 
+def text_boxes(document_xml: str | None) -> list[dict]:
+    """Blocks of text boxes and the text of the paragraph that each stands in; a fallback drawing isn't read twice."""
+    root = parse(document_xml)
+    out = []
+    for p in _body_paragraphs(root) if root is not None else ():
+        for box in p.iter(w("txbxContent")):
+            if not any(box in list(f.iter()) for f in p.iter(f"{{{MC}}}Fallback")):
+                out.append({"blocks": read_blocks(E.tostring(box, encoding="unicode")), "after_text": text_of(p)})
+    return out
+
+
+def apply_spans(runs: list[dict], spans: list[dict], text: str) -> list[dict]:
+    """Runs split where spans begin and end, with their looks. Offsets count in ``text``; both are aligned by their characters
+    other than white space, and if those differ the runs stay as they are."""
+    joined = "".join(r["text"] for r in runs)
+    if "".join(joined.split()) != "".join(text.split()):
+        return runs
+    places = [i for i, ch in enumerate(text) if not ch.isspace()]
+    nth, out = 0, []
+    for run in runs:
+        for ch in run["text"]:
+            place = places[nth] if nth < len(places) else len(text)
+            look = next(({k: v for k, v in s.items() if k not in ("start", "end") and v is not None} for s in spans if s["start"] <= place < s["end"]), {}) if not ch.isspace() else (out[-1][0] if out and out[-1][1] is run else {})
+            if out and out[-1][0] == look and out[-1][1] is run:
+                out[-1][2].append(ch)
+            else:
+                out.append((look, run, [ch]))
+            nth += not ch.isspace()
+    return [run | look | {"text": "".join(chars)} for look, run, chars in out]
+
+
 def numbering(xml: str | None) -> dict[str, bool]:
     """List id: whether its first level counts."""
     root = parse(xml)

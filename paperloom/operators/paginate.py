@@ -36,3 +36,28 @@ def drawn(blocks: Column, measure: K.Measure = K.half_em, **options) -> Column:
             yield pa.array([None if d is None else _flat(K.paginate(d, measure=measure, **options)) for d in documents.to_pylist()], pa.list_(_item))
 
     return run.asNondeterministic()(blocks)
+
+
+def pdf(blocks: Column, geometry: tuple = K.A4, **options) -> Column:
+    """A PDF file of an array of blocks, with selectable text in Helvetica."""
+    from paperloom.operators import pdf_kernel as P
+
+    @F.arrow_udf("binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for documents in batches:
+            pages = [None if d is None else K.paginate(d, geometry, P.helvetica, **options) for d in documents.to_pylist()]
+            yield pa.array([None if p is None else P.draw(p, *geometry[:2]) for p in pages], pa.binary())
+
+    return run.asNondeterministic()(blocks)
+
+
+def encryption(content: Column) -> Column:
+    """none, owner-only, user-password or unknown for a PDF file."""
+    from paperloom.operators import pdf_kernel as P
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for files in batches:
+            yield pa.array([None if f is None else P.encryption(f) for f in (x.as_py() for x in files)], pa.string())
+
+    return run(content)

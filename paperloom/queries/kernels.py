@@ -219,3 +219,23 @@ def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     found = table(spark, sf_dir, "pages").select("page_id", F.inline(paginate.drawn(markup.blocks(F.col("html")), columns=2, column_gap=14.0)))
     return found.groupBy("page_id", "page").agg(F.count("*").alias("n_items"), F.round(F.min("y"), 6).alias("lowest"), F.round(F.max(F.col("x") + F.col("width")), 6).alias("rightmost"))
+
+
+@query("SELECT page_id, true AS is_pdf, 'none' AS encryption, true AS whole FROM pages")
+def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as PDF files, looked at from outside."""
+    from paperloom.functions.files import looks_like_pdf
+    from paperloom.operators import markup, paginate
+
+    ship(spark)
+    found = table(spark, sf_dir, "pages").select("page_id", paginate.pdf(markup.blocks(F.col("html"))).alias("f"))
+    tail = F.decode(F.expr("substring(f, -6)"), "ISO-8859-1")
+    return found.select("page_id", looks_like_pdf(F.col("f")).alias("is_pdf"), paginate.encryption(F.col("f")).alias("encryption"), tail.contains("%%EOF").alias("whole"))
+
+
+@query("""WITH n AS (SELECT item_id // 5 AS doc_id, count(DISTINCT item_id) AS pages, sum(len(list_filter(string_split(text, chr(10)), lambda x: x <> '')))::BIGINT AS p FROM benchmark GROUP BY 1)
+SELECT doc_id, 'Recovered ' || p || CASE WHEN p = 1 THEN ' paragraph' ELSE ' paragraphs' END || ' and ' || pages || CASE WHEN pages = 1 THEN ' heading' ELSE ' headings' END || ' from ' || pages || CASE WHEN pages = 1 THEN ' page.' ELSE ' pages.' END AS said FROM n""")
+def recovery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.operators import infer
+
+    return infer.describe(infer.documents(*laid_out(spark, sf_dir)))

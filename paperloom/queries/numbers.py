@@ -191,3 +191,49 @@ def office_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     size = F.col("p_size")
     return table(spark, sf_dir, "part").select("p_partkey", M.emu(size).cast("int").alias("emu"), M.half_points(size / 3).alias("half_points"), M.twips_to_points(F.col("p_retailprice")).alias("points"))
+
+
+@query("""WITH s AS (SELECT source, count(*) AS n, min('doc ' || lpad(doc_id::VARCHAR, 9, '0')) AS name, min(lang) AS lo, max(lang) AS hi FROM documents WHERE n_chars > 6000 GROUP BY source)
+SELECT source, CASE WHEN n = 1 THEN name || ' was skipped — ' || lo || '.' ELSE n || ' files were skipped' || CASE WHEN lo = hi THEN ' — ' || lo ELSE '' END || '.' END AS said FROM s""")
+def rejection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.functions.reports import describe_rejections
+
+    large = table(spark, sf_dir, "documents").where("n_chars > 6000").select("source", F.concat(F.lit("doc "), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("name"), F.col("lang").alias("reason"))
+    return describe_rejections(large, "source")
+
+
+REPORTS = [
+    (1000, 400, 2, True, "Recompressed 2 images — 60% smaller. Text and vectors are untouched. Left alone: 1 no gain, 3 transparency."), (1000, 1000, 1, True, "Recompressed 1 image — the same size. Text and vectors are untouched. Left alone: 1 no gain, 3 transparency."),
+    (1000, 1500, 1, False, "Flattened 1 page to images — 50% larger. Text is no longer selectable."),
+]
+
+
+@query(f"SELECT before, after, said FROM {sql_values(REPORTS, 'before, after, touched, kept, said')}")
+def compression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.functions.reports import describe_compression
+
+    found = values(spark, REPORTS, "before long, after long, touched int, kept boolean, s string")
+    skipped = F.create_map(F.lit("transparency"), F.lit(3), F.lit("no gain"), F.lit(1), F.lit("not a JPEG"), F.lit(0))
+    return found.select("before", "after", describe_compression(F.col("before"), F.col("after"), F.col("touched"), skipped, F.col("kept")).alias("said"))
+
+
+ESTIMATES = [(100000, 50000, 3, False, "49 kB · about 50% smaller"), (100000, 50000, 9, True, "≈ 49 kB · about 50% smaller"), (1000, 2000, 1, False, "2.0 kB — no smaller than the original."), (1000, 1000, 0, False, "Nothing here can be recompressed at this setting.")]
+
+
+@query(f"SELECT before, after, said FROM {sql_values(ESTIMATES, 'before, after, touched, sampled, said')}")
+def estimate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.functions.reports import describe_estimate
+
+    found = values(spark, ESTIMATES, "before long, after long, touched int, sampled boolean, s string")
+    return found.select("before", "after", describe_estimate(F.col("before"), F.col("after"), F.col("touched"), F.col("sampled")).alias("said"))
+
+
+@query("""SELECT p_partkey, round((sw - w * s) / 2, 6) AS x, round((sh - h * s) / 2, 6) AS y, round(w * s, 6) AS width, round(h * s, 6) AS height FROM (
+SELECT *, least((sw - 40) / w, (sh - 40) / h) AS s FROM (SELECT p_partkey, w, h, CASE WHEN w > h THEN 841.89 ELSE 595.28 END::DOUBLE AS sw, CASE WHEN w > h THEN 595.28 ELSE 841.89 END::DOUBLE AS sh FROM
+  (SELECT p_partkey, (p_size * 97)::DOUBLE AS w, floor(p_retailprice * 2)::DOUBLE AS h FROM part)))""")
+def page_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.functions.media import place_on_page
+
+    found = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 97).cast("double").alias("w"), F.floor(F.col("p_retailprice") * 2).cast("double").alias("h"))
+    placed = found.select("p_partkey", place_on_page(F.col("w"), F.col("h"), margin=20.0).alias("p"))
+    return placed.select("p_partkey", *[F.round(f"p.{c}", 6).alias(c) for c in ("x", "y", "width", "height")])
