@@ -33,6 +33,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"__pl_licenses.{c}") for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.line_dedup import grouped_lines
+
+    return grouped_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.warc import page_id, read_archive, write_archive
 
