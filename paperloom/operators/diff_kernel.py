@@ -38,23 +38,31 @@ def shortest_edits(a: list, b: list, budget: int = BUDGET) -> list[Edit] | None:
     """
     n, m = len(a), len(b)
     reach: list[list[int]] = []
+    before: list[int] = []
     for d in range(min(n + m, budget) + 1):
         row = []
-        before = reach[-1] if d else []
         for i in range(d + 1):
-            x = 0 if not d else before[i] if _inserts(before, i, d) else before[i - 1] + 1
-            y = x - (2 * i - d)
+            if not d:
+                x = 0
+            elif i == 0 or (i < d and before[i - 1] < before[i]):
+                x = before[i]
+            else:
+                x = before[i - 1] + 1
+            y = x - 2 * i + d
             while x < n and y < m and a[x] == b[y]:
-                x, y = x + 1, y + 1
+                x += 1
+                y += 1
             row.append(x)
             if x >= n and y >= m:
                 reach.append(row)
                 return _script(reach, n, m)
         reach.append(row)
+        before = row
     return None
 
 
 def _inserts(before: list[int], i: int, d: int) -> bool:
+    """Whether diagonal i of row d is entered by an insertion, as decided above."""
     return i == 0 or (i < d and before[i - 1] < before[i])
 
 
@@ -108,7 +116,9 @@ def rebuilt(edits: list[Edit], right: list[str]) -> list[str]:
 def word_segments(left: str, right: str, case: bool = False, space: bool = False, budget: int = BUDGET) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     """(text, op) runs of either side."""
     a, b = _WORDS.findall(left), _WORDS.findall(right)
-    edits = shortest_edits([key_of(w, case, space) for w in a], [key_of(w, case, space) for w in b], budget)
+    known: dict[str, int] = {}
+    numbered = lambda side: [known.setdefault(key_of(w, case, space), len(known)) for w in side]
+    edits = shortest_edits(numbered(a), numbered(b), budget)
     if edits is None:
         return [(left, "delete")] if a else [], [(right, "insert")] if b else []
     sides = [(a[x], op) for op, x, _ in edits if x is not None], [(b[y], op) for op, _, y in edits if y is not None]

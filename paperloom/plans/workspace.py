@@ -85,6 +85,13 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(rows, ARROW_ROWS)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out before an operator whose cost is in Python: few bytes are not little work, and adaptive execution, which
+    counts bytes, would put a small input into one task."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def give_back() -> None:
     """Return a worker's freed memory to the machine: workers live on, and what one task needed is not there for the next."""
     import pyarrow as pa

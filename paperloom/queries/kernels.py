@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.operators import diff
-from paperloom.plans.workspace import ship
+from paperloom.plans.workspace import ship, spread
 from paperloom.queries.relations import neighbours
 from paperloom.queries.text import LINED
 from paperloom.registry import query, table, values
@@ -112,7 +112,7 @@ def markup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.operators import markup
 
     ship(spark)
-    found = table(spark, sf_dir, "pages").select("page_id", markup.blocks(F.col("html")).alias("b"))
+    found = spread(table(spark, sf_dir, "pages")).select("page_id", markup.blocks(F.col("html")).alias("b"))
     joined = F.array_join(F.transform("b", lambda x: F.coalesce(x["text"], F.lit(""))), "")
     return found.select("page_id", F.regexp_replace(joined, r"\s+", "").alias("squeezed"))
 
@@ -121,7 +121,7 @@ def markup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def markup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.operators import markup
 
-    found = markup.exploded(table(spark, sf_dir, "pages"), "page_id", "html")
+    found = markup.exploded(spread(table(spark, sf_dir, "pages")), "page_id", "html")
     return found.groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
@@ -134,7 +134,7 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     exif = F.concat(F.unhex(F.lit("ffe1")), two(F.length(tiff) + 8), F.unhex(F.lit("457869660000")), tiff)
     comment = F.concat(F.unhex(F.lit("fffe")), two(F.length(name) + 2), name)
     file = F.concat(F.unhex(F.lit("ffd8ffe000104a46494600010100000100010000")), exif, comment, F.unhex(F.lit("ffda00080101003f00")), name, F.unhex(F.lit("ffd9")))
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name", file.alias("content"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", "p_name", file.alias("content"))
 
 
 @query("SELECT p_partkey, 7 AS n_segments, true AS tiled, 'exif,comment' AS kinds FROM part")
@@ -207,7 +207,7 @@ def paginated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.operators import markup, paginate
 
     ship(spark)
-    found = table(spark, sf_dir, "pages").select("page_id", paginate.drawn(markup.blocks(F.col("html"))).alias("d"))
+    found = spread(table(spark, sf_dir, "pages")).select("page_id", paginate.drawn(markup.blocks(F.col("html"))).alias("d"))
     joined = F.array_join(F.transform(F.filter("d", lambda x: x["kind"] == "line"), lambda x: x["text"]), "")
     return found.select("page_id", F.regexp_replace(joined, r"\s+", "").alias("squeezed"))
 
@@ -217,7 +217,7 @@ def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.operators import markup, paginate
 
     ship(spark)
-    found = table(spark, sf_dir, "pages").select("page_id", F.inline(paginate.drawn(markup.blocks(F.col("html")), columns=2, column_gap=14.0)))
+    found = spread(table(spark, sf_dir, "pages")).select("page_id", F.inline(paginate.drawn(markup.blocks(F.col("html")), columns=2, column_gap=14.0)))
     return found.groupBy("page_id", "page").agg(F.count("*").alias("n_items"), F.round(F.min("y"), 6).alias("lowest"), F.round(F.max(F.col("x") + F.col("width")), 6).alias("rightmost"))
 
 
@@ -228,7 +228,7 @@ def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.operators import markup, paginate
 
     ship(spark)
-    found = table(spark, sf_dir, "pages").select("page_id", paginate.pdf(markup.blocks(F.col("html"))).alias("f"))
+    found = spread(table(spark, sf_dir, "pages")).select("page_id", paginate.pdf(markup.blocks(F.col("html"))).alias("f"))
     tail = F.decode(F.expr("substring(f, -6)"), "ISO-8859-1")
     return found.select("page_id", looks_like_pdf(F.col("f")).alias("is_pdf"), paginate.encryption(F.col("f")).alias("encryption"), tail.contains("%%EOF").alias("whole"))
 
