@@ -117,10 +117,11 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         store, root = _filesystem(self.path)
-        scheme = self.path[: self.path.index(":")] + "://" if ":" in self.path else ""
-        found = [store.get_file_info(root)] if store.get_file_info(root).type == fs.FileType.File else store.get_file_info(fs.FileSelector(root))
-        names = sorted(x.path for x in found if x.type == fs.FileType.File and x.size and not x.base_name.startswith(("_", ".")))
-        return [_File(scheme + n) for n in names]
+        info = store.get_file_info(root)
+        if info.type == fs.FileType.File:
+            return [_File(self.path)]
+        names = sorted(x.base_name for x in store.get_file_info(fs.FileSelector(root)) if x.type == fs.FileType.File and x.size and not x.base_name.startswith(("_", ".")))
+        return [_File(f"{self.path.rstrip('/')}/{n}") for n in names]
 
     def qualifies(self, headers: dict) -> bool:
         for header, how, what in self.wanted:
