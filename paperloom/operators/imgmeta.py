@@ -75,3 +75,24 @@ def metadata_fields(files: DataFrame, key: str = "path", content: str = "content
     ship(files.sparkSession)
     small = files if most is None else files.where(F.col("length") <= most)
     return small.select(key, F.inline(report(F.col(content))["fields"]))
+
+
+def tag_registry(spark) -> DataFrame:
+    """(ifd, tag, label, group, sensitive, pointer): a dimension small enough to broadcast."""
+    rows = [(ifd, tag, label, group, sensitive, False) for ifd, tags in K.TAGS.items() for tag, (label, group, sensitive) in tags.items()]
+    rows += [(ifd, tag, None, None, None, True) for tag, (ifd, _) in K.POINTERS.items()] + [("ifd1", tag, None, None, None, True) for tag in K.THUMBNAIL]
+    return spark.createDataFrame(rows, "ifd string, tag int, label string, group string, sensitive boolean, pointer boolean")
+
+
+def with_tag_info(entries: DataFrame) -> DataFrame:
+    """Entries (ifd, tag, …) with what is known of their tags. Unknown tags count as sensitive, pointers are left out."""
+    known = tag_registry(entries.sparkSession)
+    joined = entries.join(F.broadcast(known), ["ifd", "tag"], "left").where(~F.coalesce("pointer", F.lit(False))).drop("pointer")
+    named = F.coalesce("label", F.concat(F.lit("Tag 0x"), F.lower(F.lpad(F.hex("tag"), 4, "0"))))
+    return joined.withColumns({"label": named, "group": F.coalesce("group", F.lit("technical")), "sensitive": F.coalesce("sensitive", F.lit(True))})
+
+
+def summarise(fields: DataFrame, key: str = "path") -> DataFrame:
+    """(key, total, sensitive, groups) of exploded fields."""
+    sums = fields.groupBy(key).agg(F.count("*").alias("total"), F.count_if("sensitive").alias("sensitive"), F.array_sort(F.collect_set("group")).alias("groups"))
+    return sums.withColumn("groups", F.array_join("groups", ","))

@@ -33,3 +33,14 @@ def exploded(df: DataFrame, key: str, html: str) -> DataFrame:
     """(key, seq, block fields)."""
     ship(df.sparkSession)
     return df.select(key, F.posexplode(blocks(F.col(html))).alias("seq", "b")).select(key, "seq", "b.*")
+
+
+def face_needs(blocks_: DataFrame, key: str) -> DataFrame:
+    """(key, bold, italic, both, scripts): which faces a document's runs call for."""
+    from paperloom.functions.text import scripts_in
+
+    runs = blocks_.select(key, F.explode_outer("runs").alias("r")).select(key, "r.*")
+    return runs.groupBy(key).agg(
+        F.coalesce(F.bool_or("bold"), F.lit(False)).alias("bold"), F.coalesce(F.bool_or("italic"), F.lit(False)).alias("italic"), F.coalesce(F.bool_or(F.col("bold") & F.col("italic")), F.lit(False)).alias("both"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(scripts_in(F.coalesce("text", F.lit(""))))))), ",").alias("scripts"),
+    )

@@ -239,3 +239,30 @@ def recovery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.operators import infer
 
     return infer.describe(infer.documents(*laid_out(spark, sf_dir)))
+
+
+@query("SELECT p_partkey, 2 AS total, 1 AS sensitive, 'authorship,technical' AS groups FROM part")
+def image_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.operators import imgmeta
+
+    return imgmeta.summarise(imgmeta.metadata_fields(pictures(spark, sf_dir), "p_partkey"), "p_partkey")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Orientation' WHEN 1 THEN 'Lens model' WHEN 2 THEN 'Latitude' ELSE 'Tag 0xbeef' END AS label,
+CASE p_partkey % 4 WHEN 0 THEN false ELSE true END AS sensitive FROM part""")
+def tag_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.operators import imgmeta
+
+    kind = F.col("p_partkey") % 4
+    ifd = F.element_at(F.array(F.lit("ifd0"), F.lit("exif"), F.lit("gps"), F.lit("exif")), (kind + 1).cast("int"))
+    tag = F.element_at(F.array(F.lit(0x0112), F.lit(0xA434), F.lit(2), F.lit(0xBEEF)), (kind + 1).cast("int"))
+    entries = table(spark, sf_dir, "part").select("p_partkey", ifd.alias("ifd"), tag.alias("tag"))
+    pointers = entries.select("p_partkey", F.lit("ifd0").alias("ifd"), F.lit(0x8769).alias("tag"))
+    return imgmeta.with_tag_info(entries.union(pointers)).select("p_partkey", "label", "sensitive")
+
+
+@query("SELECT page_id, contains(html, '<b>') AS bold, false AS italic, false AS both, '' AS scripts FROM pages")
+def face_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.operators import markup
+
+    return markup.face_needs(markup.exploded(spread(table(spark, sf_dir, "pages")), "page_id", "html"), "page_id")

@@ -26,7 +26,7 @@ def format_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 BYTE_CASES = [(0.0, "0 B"), (1023.0, "1023 B"), (1024.0, "1.0 kB"), (10199.0, "10.0 kB"), (98566144.0, "94 MB"), (-1.0, "—"), (None, "—"), (5.0e12, "4657 GB")]
 
 
-@query(f"SELECT n, shown FROM {sql_values(BYTE_CASES, 'n, shown')}")
+@query(f"SELECT n::DOUBLE AS n, shown FROM {sql_values(BYTE_CASES, 'n, shown')}")
 def format_bytes_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, BYTE_CASES, "n double, shown string").select("n", N.format_bytes(F.col("n")).alias("shown"))
 
@@ -237,3 +237,22 @@ def page_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 97).cast("double").alias("w"), F.floor(F.col("p_retailprice") * 2).cast("double").alias("h"))
     placed = found.select("p_partkey", place_on_page(F.col("w"), F.col("h"), margin=20.0).alias("p"))
     return placed.select("p_partkey", *[F.round(f"p.{c}", 6).alias(c) for c in ("x", "y", "width", "height")])
+
+
+@query("""SELECT p_partkey, (ceil(w * 4) * ceil(h * 4))::BIGINT AS pixels, ceil(w * 4) * ceil(h * 4) > 40000000 AS skipped, greatest(0.1, floor(sqrt(40000000.0::DOUBLE / (w * h)) * 10) / 10) AS safe_scale
+FROM (SELECT p_partkey, (p_size * 97)::DOUBLE AS w, p_retailprice AS h FROM part)""")
+def render_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.functions.media import render_plan as plan
+
+    return table(spark, sf_dir, "part").select("p_partkey", plan((F.col("p_size") * 97).cast("double"), F.col("p_retailprice"), 4.0).alias("p")).select("p_partkey", "p.*")
+
+
+UNITS = [("ff0080", 1.0, 0.0, 0.501960784), ("auto", None, None, None), ("FFF", None, None, None), ("000000", 0.0, 0.0, 0.0)]
+
+
+@query(f"SELECT source, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM {sql_values(UNITS, 'source, r, g, b')}")
+def unit_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.functions.media import hex_to_unit
+
+    found = values(spark, UNITS, "source string, r double, g double, b double").select("source", hex_to_unit(F.col("source")).alias("c"))
+    return found.select("source", *[F.round(f"c.{x}", 9).alias(x) for x in "rgb"])

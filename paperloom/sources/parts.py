@@ -48,9 +48,11 @@ class PartsReader(DataSourceReader):
 
         store, root = _store(self.path)
         info = store.get_file_info(root)
-        found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
-        scheme = self.path[: self.path.index(":")] + "://" if ":" in self.path else ""
-        return [Package(scheme + x.path) for x in sorted(found, key=lambda x: x.path) if x.type == fs.FileType.File and fnmatch.fnmatch(x.base_name, self.glob)]
+        if info.type == fs.FileType.File:
+            return [Package(self.path)]
+        base = root.rstrip("/")
+        found = sorted(x.path for x in store.get_file_info(fs.FileSelector(root, recursive=True)) if x.type == fs.FileType.File and fnmatch.fnmatch(x.base_name, self.glob))
+        return [Package(self.path.rstrip("/") + p[len(base) :]) for p in found]
 
     def wanted(self, name: str) -> bool:
         return all(name in v if how == "in" else name.startswith(v) if how == "starts" else name.endswith(v) for how, v in self.tests)

@@ -134,3 +134,46 @@ def test_qr_reads_back():
             assert Q.parity(data, ec) == words[-ec:]
             assert "".join(f"{b:08b}" for b in data).startswith(Q.encode_bits(text, version))
     assert Q.svg([[1]], 2, 1).count("M1 1h1v1h-1z") == 1
+
+
+def test_pdf_files_and_their_encryption():
+    from paperloom.operators import pdf_kernel as F
+
+    pages = P.paginate([para("Hello (world) \\ é 日")], measure=F.helvetica)
+    data = F.draw(pages, 595.28, 841.89)
+    import re
+    import zlib
+
+    streams = [zlib.decompress(m) for m in re.findall(rb"stream\n(.*?)\nendstream", data, re.S)]
+    assert b"(\\(world\\))" in streams[0] and b"\xe9" in streams[0] and b"?" in streams[0]
+    start = int(re.search(rb"startxref\n(\d+)", data).group(1))
+    assert data[start : start + 4] == b"xref" and F.encryption(data) == "none"
+    assert F.helvetica("AB", size=1000) == 667 + 667
+    import hashlib
+
+    def locked(user):
+        """A revision 3 dictionary made from the published algorithm, with a user password."""
+        size, perms, ident, owner = 16, -44, b"0123456789abcdef", bytes(range(32))
+        key = hashlib.md5((user + F.PADDING)[:32] + owner + (perms & 0xFFFFFFFF).to_bytes(4, "little") + ident).digest()
+        for _ in range(50):
+            key = hashlib.md5(key[:size]).digest()
+        mark = hashlib.md5(F.PADDING + ident).digest()
+        for i in range(20):
+            mark = F._rc4(bytes(b ^ i for b in key), mark)
+        body = f"7 0 obj << /Filter /Standard /V 2 /R 3 /Length 128 /P {perms} /O <{owner.hex()}> /U <{(mark + bytes(16)).hex()}> >> endobj trailer << /Encrypt 7 0 R /ID [<{ident.hex()}> <00>] >>"
+        return b"%PDF-1.4 " + body.encode()
+
+    assert F.encryption(locked(b"")) == "owner-only" and F.encryption(locked(b"secret")) == "user-password" and F.encryption(b"%PDF /Encrypt 9 0 R") == "unknown"
+
+
+def test_text_boxes_and_run_looks():
+    xml = f'<w:document xmlns:w="{O.W}" xmlns:mc="{O.MC}"><w:body><w:p><w:r><w:t>before</w:t></w:r><w:r><mc:AlternateContent><mc:Choice><w:txbxContent><w:p><w:r><w:t>boxed</w:t></w:r></w:p></w:txbxContent></mc:Choice><mc:Fallback><w:txbxContent><w:p><w:r><w:t>boxed</w:t></w:r></w:p></w:txbxContent></mc:Fallback></mc:AlternateContent></w:r></w:p></w:body></w:document>'
+    boxes = O.text_boxes(xml)
+    assert len(boxes) == 1 and M.block_text(boxes[0]["blocks"][0]) == "boxed" and boxes[0]["after_text"] == "before"
+    runs = [{"text": "red and "}, {"text": "plain", "bold": True}]
+    spans = [{"start": 0, "end": 3, "color": "FF0000", "size": None}]
+    assert O.apply_spans(runs, spans, "red  and plain") == [{"text": "red ", "color": "FF0000"}, {"text": "and "}, {"text": "plain", "bold": True}]
+    assert O.apply_spans(runs, spans, "other") is runs
+    notes = {"1": {"runs": [{"text": "a note"}]}}
+    pages = P.with_notes([para("x"), {"kind": "paragraph", "runs": [{"text": "y", "anchor": "#footnote-1"}]}], notes, M.notes_in)
+    assert len(pages) == 1
