@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.plans.workspace import ship
+from paperloom.plans.workspace import give_back, ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, RATE, VARIANTS = 6, 0.1, 4
@@ -176,19 +176,25 @@ def worker_encoder(model: str, rate: float, seed: int, variants: int, room: int)
     return Encoder(model, rate, seed, variants, room)
 
 
-def with_tokens(df: DataFrame, text: str = "text", id_col: str = "doc_id", name: str = "token_ids", model: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, room: int = CACHE) -> DataFrame:
-    """``df`` with each whole text's piece ids; the variant follows from seed and id. ``room``: stretches that a worker remembers,
-    at about 250 bytes each."""
+def with_tokens(df: DataFrame, text: str = "text", id_col: str = "doc_id", name: str = "token_ids", model: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, room: int = CACHE, keep: bool = True) -> DataFrame:
+    """``df`` with each whole text's piece ids; the variant follows from seed and id.
+
+    ``room``: stretches that a worker remembers, at about 250 bytes each; ``keep``: from task to task, which is faster, rather
+    than within one, which leaves more memory to what runs next.
+    """
     ship(df.sparkSession)
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        encoder = worker_encoder(model, rate, seed, variants, room)
+        encoder = (worker_encoder if keep else Encoder)(model, rate, seed, variants, room)
         for texts, chosen in batches:
             parts = [encoder.packed(t, v) for t, v in zip(texts.to_pylist(), chosen.to_pylist(), strict=True)]
             ends = np.cumsum([0, *map(len, parts)]) // 4
             values = pa.array(np.frombuffer(b"".join(parts), np.int32))
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=texts.is_null())
+        if not keep:
+            del encoder
+            give_back()
 
     return df.withColumn(name, encode(F.col(text), F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(variants)).cast("int")))
 
