@@ -17,6 +17,7 @@ no text is called toxic; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import ctypes
 import re
 import zlib
 from array import array
@@ -42,6 +43,8 @@ START_BIAS = -4.0
 SHRINK, CLEAR = 5.0, 1.0
 #: Words whose bags are summed at once.
 FIT_WORDS = 50_000
+#: Tokens whose windows are averaged at once.
+FIT_PART = 400_000
 SEED = 0x5EED_0008
 WORD_CACHE, GRAM_CACHE = 300_000, 300_000
 _WORD = re.compile(r"[^\W_]+(?:['@$!*][^\W_]+)*")
@@ -109,25 +112,36 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     prior = float(y.mean()) if len(y) else 0.0
     if not len(y) or prior in (0.0, 1.0):
         return Model(None, 0.0, prior)
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays of 1 MB and more go back to the machine when freed
+    except (OSError, AttributeError):  # another C library
+        pass
     rng = np.random.default_rng(SEED)
     ids: dict[str, int] = {}
     tokens = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t)] or [-1], np.int32) for t in texts]
-    rows, sizes = array("i"), array("i")
+    parts, rows, sizes = [], array("i"), array("i")
     for w in ids:
         found = grams(w)
         rows.extend(found)
         sizes.append(len(found))
-    bag_rows = np.append(np.frombuffer(rows, np.int32), np.int32(BUCKETS))
+        if len(rows) > 1 << 20:
+            parts.append(np.array(rows, np.int32))
+            del rows[:]
+    n_words = len(ids)
+    parts += [np.array(rows, np.int32), np.array([BUCKETS], np.int32)]
+    del ids, rows
+    give_back()  # the words themselves are the largest part of a fit
+    bag_rows = np.concatenate(parts)
     bag_size = np.append(np.frombuffer(sizes, np.int32), np.int32(1)).astype(np.int64)
+    del parts
     bag_end = np.cumsum(bag_size)
-    del rows, sizes
+    del sizes
     doc_len = np.array([len(t) for t in tokens])
     doc_end = np.cumsum(doc_len)
     flat = np.concatenate(tokens)
-    n_words = len(ids)
     flat[flat < 0] = n_words  # the empty bag
     doc_of = np.repeat(np.arange(len(y), dtype=np.int32), doc_len)
-    del tokens, ids
+    del tokens
     width = np.minimum(WINDOW, doc_len)
     start_ok = np.arange(len(flat)) <= (doc_end - width)[doc_of]
     starts = np.flatnonzero(start_ok).astype(np.int32)
@@ -162,9 +176,16 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
     for epoch in range(1, EPOCHS + 1):
         gap = table @ (layer[:, 1] - layer[:, 0])
-        word = (np.add.reduceat(gap[bag_rows], bag_end - bag_size) / bag_size).astype(np.float32)
+        word = np.empty(len(bag_size), np.float32)
+        for at in range(0, len(bag_size), FIT_WORDS):
+            size, stop = bag_size[at : at + FIT_WORDS], bag_end[at : at + FIT_WORDS]
+            lo = stop[0] - size[0]
+            word[at : at + FIT_WORDS] = np.add.reduceat(gap[bag_rows[lo : stop[-1]]], stop - size - lo) / size
         run = np.concatenate([[0.0], np.cumsum(word[flat], dtype=np.float64)])
-        mean = ((run[starts + start_width] - run[starts]) / start_width).astype(np.float32)
+        mean = np.empty(len(starts), np.float32)
+        for at in range(0, len(starts), FIT_PART):
+            there, over = starts[at : at + FIT_PART], start_width[at : at + FIT_PART]
+            mean[at : at + FIT_PART] = (run[there + over] - run[there]) / over
         hits = np.flatnonzero(mean == np.maximum.reduceat(mean, first)[start_doc])
         best = np.full(len(y), -1)
         best[start_doc[hits][::-1]] = hits[::-1]
@@ -179,7 +200,10 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         spread = np.zeros(len(flat) + 1)
         np.add.at(spread, lo, slope / n)
         np.add.at(spread, hi, -slope / n)
-        by_word = np.bincount(flat, np.cumsum(spread)[:-1], len(bag_size))
+        np.cumsum(spread, out=spread)
+        by_word = np.zeros(len(bag_size))
+        for at in range(0, len(flat), FIT_PART):
+            by_word += np.bincount(flat[at : at + FIT_PART], spread[at : at + FIT_PART][: len(flat) - at], len(bag_size))
         by_row = _add_up(bag_rows, by_word / bag_size, bag_size, bag_end).astype(np.float32)
         joint = by_row @ table
         step("table", table, by_row[:, None] * (layer[:, 1] - layer[:, 0]) + DECAY * table, epoch, RATE)
