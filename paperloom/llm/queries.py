@@ -36,7 +36,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.line_dedup import grouped_lines
 
-    return grouped_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
+    return grouped_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), max_bits=None).drop("text_hash")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
