@@ -35,13 +35,12 @@ NOTICES = {
     "do what the fuck you want to public license": "wtfpl", "all rights reserved": "all-rights-reserved", "academic free license": "afl", "artistic license": "artistic",
 }
 TAGS = ("spdx license identifier",)
-#: What a tag looks like in a text; its expression ends with the line or a comment's end.
-TAG = re.compile(rb"spdx-license-identifier\s*:[ \t]*([^\r\n]*)")
+#: What a tag looks like in a text; its expression ends where the parser stops.
+TAG = re.compile(rb"spdx-license-identifier\s*:")
 TOKEN = re.compile(rb"[()]|[a-z0-9][a-z0-9.+:-]*")
 #: Other bytes than a-z, 0-9 and 128 up become a space.
 WORD_BYTES = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 RANK = {"or": 1, "and": 2, "with": 3}
-MAX_EXPRESSION = 4096
 
 
 def family(name: str) -> str:
@@ -56,23 +55,30 @@ def parse_expression(text: bytes) -> tuple[tuple | None, list[str]]:
     """Shunting-yard over lower-case bytes: (tree or None where the expression is broken, licences in order).
 
     A tree is a licence or (operator, left, right). Reading stops at the first token that can't go on an expression, so
-    a comment's end or a sentence after it does no harm; what was read must be complete.
+    a comment's end or a sentence after it does no harm, and at the line's end; what was read must be complete.
     """
+    return read_expression(text, 0)[:2]
+
+
+def read_expression(text: bytes, at: int) -> tuple[tuple | None, list[str], int]:
+    """The same from a place on, with the place where reading stopped."""
     out: list = []
     ops: list[str] = []
     names: list[str] = []
-    wants, at, exception = True, 0, False
+    wants, exception = True, False
 
     def reduce() -> None:
         right, left = out.pop(), out.pop()
         out.append((ops.pop(), left, right))
 
     while at < len(text):
+        if text[at] in b"\r\n":
+            break
         if text[at : at + 1].isspace():
             at += 1
             continue
         found = TOKEN.match(text, at)
-        if not found:
+        if not found or TAG.match(text, at):
             break
         token = found.group().decode()
         if token == "(":
@@ -101,10 +107,10 @@ def parse_expression(text: bytes) -> tuple[tuple | None, list[str]]:
             wants = exception = False
         at = found.end()
     if wants or "(" in ops:
-        return None, names
+        return None, names, at
     while ops:
         reduce()
-    return out[0], names
+    return out[0], names, at
 
 
 def allows(tree, allowed: set[str]) -> bool:
@@ -145,11 +151,12 @@ def scan(text: str | None, matcher) -> tuple:
             tagged = True
     expressions, whole = [], False
     if tagged:
-        for found in TAG.finditer(raw.lower()):
-            tree, names = parse_expression(found.group(1)[:MAX_EXPRESSION])
+        lowered = raw.lower()
+        for found in TAG.finditer(lowered):
+            tree, names, stop = read_expression(lowered, found.end())
             labels.update(family(n) for n in names if n not in ("none", "noassertion"))
             whole |= tree is not None
-            expressions.append(found.group(1)[:MAX_EXPRESSION].decode("utf-8", "replace").strip())
+            expressions.append(lowered[found.end() : stop].decode("utf-8", "replace").strip())
     first, last = (line.count(" ", 0, min(starts)), line.count(" ", 0, max(starts))) if starts else (None, None)
     score = 1.0 if whole else 1 - 0.5 ** (0.5 * len(starts) + notices)
     return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), expressions, score

@@ -235,6 +235,16 @@ def warc_id(record):
 
 # 6 Pieces
 
+def test_every_tag_of_a_line_and_long_expressions():
+    scan = lambda text: license_scan.scan(text, license_scan.automaton())
+    assert scan("SPDX-License-Identifier: MIT ... SPDX-License-Identifier: Apache-2.0")[5] == "apache,mit"
+    assert scan("SPDX-License-Identifier: MIT SPDX-License-Identifier: Apache-2.0")[5] == "apache,mit"
+    assert scan("SPDX-License-Identifier: MIT AND SPDX-License-Identifier: Apache-2.0")[5:] == ("apache,mit", ["mit and", "apache-2.0"], 1.0)
+    assert scan("SPDX-License-Identifier: or -- SPDX-License-Identifier: ISC")[7] == 1.0
+    assert scan("SPDX-License-Identifier: MIT AND\nApache-2.0")[5] == "mit"
+    assert scan(f"SPDX-License-Identifier: {'MIT OR ' * 2000}Zlib")[5] == "mit,zlib"
+
+
 TEXTS = ["  hi  there\n\nx", "", "a\tb", "é\x00 z", " lead", "trail  ", "▁x a ▁ b", "日本語 😀", "   ", "\n", "x" * 50_000, "The quick brown fox, jumps!", None]
 
 
