@@ -8,7 +8,7 @@ together on each document's most toxic window under the current model, and on ra
 embeddings start from their rows' log odds, without which the first windows would be arbitrary.
 
 The fit takes a bounded sample of labelled rows, ``PER_CLASS`` of each class by hash of their ids and at most
-``FIT_BYTES`` of text of each class; scoring reads every whole text.
+``FIT_BYTES`` characters of text of each class, where a text that doesn't fit is left out alone; scoring reads every whole text.
 
 Defined results: null, empty and wordless texts get the score of an empty bag, the softmax of the bias; repeated rows
 score alike; without labelled rows of both classes the score is 0.5 times the share of label 1 (0 without labels) and
@@ -222,11 +222,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     order = F.xxhash64(F.lit(SEED), "id")
     sized = docs.select(F.col(id_col).alias("id"), F.length(text).alias("size")).join(known, "id")
     chosen: list = []
+    fits = F.coalesce("size", F.lit(0)) <= FIT_BYTES
     for y in (0, 1):
         spent = 0
-        for r in sized.where(F.col("y") == y).orderBy(order, "id").limit(PER_CLASS).select("id", "size").collect():
-            spent += 2 * (r["size"] or 0)
-            if spent <= 2 * FIT_BYTES:
+        for r in sized.where(fits & (F.col("y") == y)).orderBy(order, "id").limit(PER_CLASS).select("id", "size").collect():
+            if spent + (r["size"] or 0) <= FIT_BYTES:
+                spent += r["size"] or 0
                 chosen.append((r["id"], y))
     if not chosen:
         return Model(None, 0.0, 0.0)

@@ -332,6 +332,18 @@ def test_toxicity_on_held_out_rows_and_misspellings(spark, docs, nothing):
     assert bare.scorer()("idiot") == 0.0 and toxicity.train(nothing, df.select("doc_id", "toxic")).scorer()("x") == 0.0
 
 
+def test_an_oversized_labelled_text_shuts_out_no_other(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 200_000)
+    df = spark.createDataFrame(toxic_corpus(random.Random(8), 400), "doc_id long, text string, toxic int")
+    first = df.where("toxic = 1").orderBy(F.xxhash64(F.lit(toxicity.SEED), "doc_id")).first()["doc_id"]
+    df = df.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("w1 "), 100_000)).otherwise(F.col("text")))
+    model = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"))
+    assert model.weights is not None and model.scorer()("w1 w2 idiot w3") > 0.5 > model.scorer()("w1 w2 w9 w3")
+
+
+
 # 9 Shards
 
 
