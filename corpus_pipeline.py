@@ -2,7 +2,7 @@
 
 Each stage gets what the one before it kept, written as Parquet, and its decisions take effect: toxic documents go, one
 of equal texts stays, one of near-duplicate texts stays, sources are brought to their target weights (a document that
-is taken twice has two rows), and the mix is cut into pieces. The last stage returns doc_id, source, n_tokens and
+is taken twice has two rows, told apart by a column copy, which are cut differently), and the mix is cut into pieces. The last stage returns doc_id, source, n_tokens and
 token_ids.
 """
 
@@ -37,11 +37,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_rows(docs)
+    return mixing.mixed_rows(docs, copy="copy")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.with_tokens(docs.select("doc_id", "source", "text"), room=WORKER_ROOM, keep=False).select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+    return pieces.with_tokens(docs.select("doc_id", "source", "text", "copy"), copy="copy", room=WORKER_ROOM, keep=False).select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 
 
 STAGES = [("toxicity", reject_toxic), ("exact_dedup", exact), ("minhash_dedup", near), ("mixing", mix), ("sentencepiece", tokens)]

@@ -89,7 +89,7 @@ def _draw(sized: DataFrame, id_col: str, source: str) -> DataFrame:
     return out.withColumn("__pl_copies", (F.col("__pl_whole") + drawn.cast("long")).cast("long")).drop("cs", "cbin", "last", "has_cut", "__pl_expected", "__pl_whole", "__pl_u", "__pl_rank", "__pl_bin")
 
 
-def mixed_rows(df: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``df`` as many times as it is taken."""
+def mixed_rows(df: DataFrame, copy: str | None = None, **options) -> DataFrame:
+    """The mix itself: each row of ``df`` as many times as it is taken; ``copy``: a column to add with the copy's number."""
     found = mix(df, **options)
-    return found.where("__pl_copies > 0").withColumn("__pl_copy", F.explode(F.sequence(F.lit(1), F.col("__pl_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    return found.where("__pl_copies > 0").withColumn("__pl_copy", F.explode(F.sequence(F.lit(1), F.col("__pl_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns], *([F.col("__pl_copy").alias(copy)] if copy else []))

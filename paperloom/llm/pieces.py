@@ -3,14 +3,15 @@
 A model of merge type (BPE with byte fallback) is read once per worker. Text is cut where no piece can reach across:
 before a run of spaces that follows other characters, and around line feeds. In each such stretch adjacent symbols are
 merged from an agenda, best score first and leftmost of equals. With dropout, a candidate that comes up is skipped if a
-hash keyed by seed, variant, stretch, position and piece falls below the rate; so runs agree on any cluster, and
-documents of different variants are cut differently. Without dropout the result is SentencePiece's own.
+hash keyed by seed, document, copy, stretch, its number in the text, position and piece falls below the rate; so runs
+agree on any cluster, and each occurrence of a word has a draw of its own. Workers remember what doesn't depend on the
+draw: a stretch's candidates and pieces after given skips. Without dropout the result is SentencePiece's own.
 
 Decoding is lossless for every text: characters without a piece go to byte pieces, and so does U+2581, which the model
 uses for spaces.
 
 Defined results: a null text has null tokens and decodes to null; an empty one has none and decodes to an empty text;
-repeated rows are cut alike; an empty table gives an empty result; extra columns pass.
+repeated rows of one id (and copy, where given) are cut alike; an empty table gives an empty result; extra columns pass.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from paperloom.plans.workspace import give_back, ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SEED, RATE, VARIANTS = 6, 0.1, 4
-#: Stretches remembered by a worker, in all variants; longer ones than so many characters aren't.
+SEED, RATE = 6, 0.1
+#: Room for stretches remembered by a worker; longer ones than so many characters aren't.
 CACHE, CACHED_LENGTH = 800_000, 32
 STRETCH = re.compile(r" *[^ \n]+| +|\n")
 META = "▁"
@@ -72,7 +73,7 @@ class Pieces:
 
 
 def _skipped(salt: int, order: int, place: int, limit: int) -> bool:
-    """A multiply-shift hash of the candidate, keyed by seed, variant and stretch through ``salt``."""
+    """A multiply-shift hash of the candidate, keyed by document, occurrence and stretch through ``salt``."""
     return (salt * (order << 20 | place + 1) & MASK) < limit
 
 
@@ -139,30 +140,65 @@ def segment(stretch: str, pieces: Pieces, rate: float = 0.0, key: int = 0) -> tu
     return tuple(out)
 
 
-class _Stretches(dict):
-    """Stretch to its ids, packed as 32-bit integers so that a text's are joined without handling each."""
-
-    def __init__(self, pieces: Pieces, rate: float, key: int, room: int):
-        self.pieces, self.rate, self.key, self.room = pieces, rate, key, room
-
-    def __missing__(self, stretch: str) -> bytes:
-        found = array("i", segment(stretch, self.pieces, self.rate, self.key)).tobytes()
-        if len(stretch) <= CACHED_LENGTH and len(self) < self.room:
-            self[stretch] = found
-        return found
+def _traced(stretch: str, pieces: Pieces, skips: tuple[int, ...]) -> tuple[bytes, tuple[int, ...]]:
+    """(packed ids, what is hashed of each candidate in the order they come up) of a short stretch where candidates of
+    these numbers are skipped."""
+    look, merged, place = pieces.pairs.get, pieces.merged, list(range(len(stretch)))
+    symbols = [pieces.char.get(c, -1) for c in stretch]
+    agenda, asked = [look(a << ID_BITS | b, NONE) for a, b in pairwise(symbols)], []
+    while agenda and (order := min(agenda)) != NONE:
+        i = agenda.index(order)
+        asked.append(order << 20 | place[i] + 1)
+        if len(asked) - 1 in skips:
+            agenda[i] = NONE
+            continue
+        new = symbols[i] = merged[order]
+        del symbols[i + 1], place[i + 1], agenda[i]
+        if i < len(agenda):
+            agenda[i] = look(new << ID_BITS | symbols[i + 1], NONE)
+        if i:
+            agenda[i - 1] = look(symbols[i - 1] << ID_BITS | new, NONE)
+    out: list[int] = []
+    for s, i in zip(symbols, place, strict=True):
+        out += [s] if s >= 0 else [pieces.byte[b] for b in stretch[i].encode("utf-8", "surrogatepass")]
+    return array("i", out).tobytes(), tuple(asked)
 
 
 class Encoder:
-    def __init__(self, model: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, room: int = CACHE):
-        self.pieces = Pieces(model)
-        self.caches = [_Stretches(self.pieces, rate, (seed << 16) + v, room // variants) for v in range(variants)]
+    #: Room that an entry takes: what is remembered of a stretch is about twice its ids.
+    ENTRY = 2
 
-    def packed(self, text: str | None, variant: int = 0) -> bytes:
-        """The ids of a text as 32-bit integers."""
-        return b"".join(map(self.caches[variant].__getitem__, STRETCH.findall(" " + text))) if text else b""
+    def __init__(self, model: str = MODEL, rate: float = RATE, seed: int = SEED, room: int = CACHE):
+        self.pieces, self.rate, self.seed, self.limit, self.room = Pieces(model), rate, seed, int(rate * 2**64), room
+        self.known: dict = {}  # (stretch, numbers of skipped candidates), or a stretch where none is, to what _traced gives
+
+    def _entry(self, stretch: str, skips: tuple[int, ...]) -> tuple[bytes, tuple[int, ...]]:
+        found = _traced(stretch, self.pieces, skips)
+        if self.ENTRY * len(self.known) < self.room:
+            self.known[(stretch, skips) if skips else stretch] = found
+        return found
 
-    def encode(self, text: str | None, variant: int = 0) -> list[int] | None:
-        return None if text is None else list(array("i", self.packed(text, variant)))
+    def packed(self, text: str | None, key: int = 0) -> bytes:
+        """The ids of a text as 32-bit integers; ``key``: of the document. The draw of a stretch is that of :func:`segment`."""
+        known, limit, digest, parts = self.known, self.limit, xxhash.xxh3_64_intdigest, []
+        key = (key & MASK) ^ (self.seed << 16)
+        for number, stretch in enumerate(STRETCH.findall(" " + text) if text else ()):
+            if len(stretch) > CACHED_LENGTH:
+                parts.append(array("i", segment(stretch, self.pieces, self.rate, key + number & MASK)).tobytes())
+                continue
+            ids, asked = known.get(stretch) or self._entry(stretch, ())
+            if limit and asked:
+                salt, skips, at = digest(stretch.encode("utf-8", "surrogatepass"), key + number & MASK) | 1, (), 0
+                while at < len(asked):
+                    if (salt * asked[at] & MASK) < limit:
+                        skips += (at,)
+                        ids, asked = known.get((stretch, skips)) or self._entry(stretch, skips)
+                    at += 1
+            parts.append(ids)
+        return b"".join(parts)
+
+    def encode(self, text: str | None, key: int = 0) -> list[int] | None:
+        return None if text is None else list(array("i", self.packed(text, key)))
 
     def decode(self, ids) -> str | None:
         if ids is None:
@@ -171,24 +207,24 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def worker_encoder(model: str, rate: float, seed: int, variants: int, room: int) -> Encoder:
+def worker_encoder(model: str, rate: float, seed: int, room: int) -> Encoder:
     """A worker's encoder, kept from task to task with what it remembers."""
-    return Encoder(model, rate, seed, variants, room)
+    return Encoder(model, rate, seed, room)
 
 
-def with_tokens(df: DataFrame, text: str = "text", id_col: str = "doc_id", name: str = "token_ids", model: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, room: int = CACHE, keep: bool = True) -> DataFrame:
-    """``df`` with each whole text's piece ids; the variant follows from seed and id.
+def with_tokens(df: DataFrame, text: str = "text", id_col: str = "doc_id", name: str = "token_ids", model: str = MODEL, rate: float = RATE, seed: int = SEED, room: int = CACHE, keep: bool = True, copy: str | None = None) -> DataFrame:
+    """``df`` with each whole text's piece ids; the draw follows from seed, id and ``copy``, a column that tells copies of a document apart.
 
-    ``room``: stretches that a worker remembers, at about 250 bytes each; ``keep``: from task to task, which is faster, rather
+    ``room``: what a worker remembers, in units of about 250 bytes; ``keep``: from task to task, which is faster, rather
     than within one, which leaves more memory to what runs next.
     """
     ship(df.sparkSession)
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        encoder = (worker_encoder if keep else Encoder)(model, rate, seed, variants, room)
+        encoder = (worker_encoder if keep else Encoder)(model, rate, seed, room)
         for texts, chosen in batches:
-            parts = [encoder.packed(t, v) for t, v in zip(texts.to_pylist(), chosen.to_pylist(), strict=True)]
+            parts = [encoder.packed(t, k) for t, k in zip(texts.to_pylist(), chosen.to_pylist(), strict=True)]
             ends = np.cumsum([0, *map(len, parts)]) // 4
             values = pa.array(np.frombuffer(b"".join(parts), np.int32))
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=texts.is_null())
@@ -196,7 +232,7 @@ def with_tokens(df: DataFrame, text: str = "text", id_col: str = "doc_id", name:
             del encoder
             give_back()
 
-    return df.withColumn(name, encode(F.col(text), F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(variants)).cast("int")))
+    return df.withColumn(name, encode(F.col(text), F.xxhash64(F.lit(seed), F.col(id_col), *([F.col(copy)] if copy else []))))
 
 
 def with_text(df: DataFrame, ids: str = "token_ids", name: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -205,7 +241,7 @@ def with_text(df: DataFrame, ids: str = "token_ids", name: str = "decoded", mode
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = worker_encoder(model, 0.0, 0, 1, 1)
+        encoder = worker_encoder(model, 0.0, 0, 1)
         for lists in batches:
             yield pa.array([encoder.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in lists], pa.string())
 

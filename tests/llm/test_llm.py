@@ -268,6 +268,19 @@ def test_pieces_decode_losslessly_and_vary(spark, docs, nothing):
     assert pieces.with_text(pieces.with_tokens(docs)).where("not decoded <=> text").count() == 0 and pieces.with_tokens(nothing).count() == 0
 
 
+def test_every_document_copy_and_occurrence_has_its_own_draw(spark):
+    encoder, text = pieces.Encoder(), " interoperability"
+    cuts = {tuple(encoder.encode(text, key)) for key in range(200)}
+    assert len(cuts) > 8
+    words = encoder.encode(text * 200, 7)
+    assert encoder.decode(words) == text * 200 and len(words) % 200  # one cut for all would give a multiple
+    for key in range(50):  # what is remembered changes no draw
+        own = (key & pieces.MASK) ^ (pieces.SEED << 16)
+        assert encoder.encode(text[1:], key) == list(pieces.segment(text, encoder.pieces, pieces.RATE, own))
+    rows = spark.createDataFrame([(1, c, text * 20) for c in (1, 2)], "doc_id long, copy int, text string")
+    assert len({tuple(r["token_ids"]) for r in pieces.with_tokens(rows, copy="copy").collect()}) == 2
+
+
 def test_both_agendas_agree():
     model, rng = pieces.Pieces(pieces.MODEL), random.Random(4)
     for _ in range(300):
