@@ -16,8 +16,6 @@ from paperloom.plans.workspace import save, ship
 
 #: Documents that score this much or more go.
 TOXIC = 0.5
-#: Stretches that a worker remembers, and within a task only: executors still hold what other stages grew, and theirs comes next.
-WORKER_ROOM = 240_000
 #: SQL has neither the trained model nor the merges.
 ORACLE_SQL = None
 
@@ -41,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.with_tokens(docs.select("doc_id", "source", "text", "copy"), copy="copy", room=WORKER_ROOM, keep=False).select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+    return pieces.with_tokens(docs.select("doc_id", "source", "text", "copy"), copy="copy").select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 
 
 STAGES = [("toxicity", reject_toxic), ("exact_dedup", exact), ("minhash_dedup", near), ("mixing", mix), ("sentencepiece", tokens)]

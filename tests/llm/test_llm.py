@@ -281,12 +281,61 @@ def test_every_document_copy_and_occurrence_has_its_own_draw(spark):
     assert len({tuple(r["token_ids"]) for r in pieces.with_tokens(rows, copy="copy").collect()}) == 2
 
 
-def test_both_agendas_agree():
-    model, rng = pieces.Pieces(pieces.MODEL), random.Random(4)
-    for _ in range(300):
-        word = " " + "".join(rng.choice("abcdefghinorstu") for _ in range(rng.randint(1, 30)))
-        salt, symbols = rng.getrandbits(64) | 1, [model.char.get(c, -1) for c in word]
-        assert pieces._by_list(list(symbols), model, 2**61, salt) == pieces._by_heap(list(symbols), model, 2**61, salt)
+def naive_pieces(library, text, key, rate):
+    """Merge-dropout by looking through all adjacent pairs again for each candidate, from the library's pieces and scores."""
+    sizes = range(library.get_piece_size())
+    plain = {library.id_to_piece(i).replace("\u2581", " "): i for i in sizes if not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i) or library.is_unused(i))}
+    order = {p: n for n, p in enumerate(sorted((p for p in plain if len(p) > 1), key=lambda p: (-library.get_score(plain[p]), plain[p])))}
+    raw = {library.id_to_piece(i): i for i in sizes if library.is_byte(i)}
+    top, out = 2**64, []
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % top
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % top
+        return x ^ x >> 31
+
+    for number, stretch in enumerate(re.findall(r" *[^ \n]+| +|\n", " " + text) if text else ()):
+        h = 0xCBF29CE484222325
+        for c in stretch:
+            h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % top
+        salt = mixed(h ^ mixed(((key % top) ^ pieces.SEED << 16) + number)) | 1
+        symbols, skipped = [(i, c) for i, c in enumerate(stretch)], set()
+        while True:
+            pairs = [(order[a + b], i, n, a + b) for n, ((i, a), (j, b)) in enumerate(zip(symbols, symbols[1:])) if a + b in order and a in plain and b in plain and (i, a, b) not in skipped]
+            if not pairs:
+                break
+            rank, i, n, joined = min(pairs)
+            if salt * (rank << 20 | i + 1) % top < int(rate * top):
+                skipped.add((i, symbols[n][1], symbols[n + 1][1]))
+            else:
+                symbols[n : n + 2] = [(i, joined)]
+        for _, p in symbols:
+            out += [plain[p]] if p in plain else [raw[f"<0x{b:02X}>"] for b in p.encode()]
+    return out
+
+
+def test_dropout_equals_a_naive_agenda():
+    import sentencepiece
+
+    library, encoder, rng = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Encoder(rate=0.3), random.Random(4)
+    words = ["international", "the", "Zusammenhang,", "développement", "日本語", "😀😀", "x" * 37, "_-_", "antidisestablishmentarianism", "12345", "a", "▁b"]
+    texts = [t for t in TEXTS if t is not None and len(t) < 100] + ["".join(rng.choice(words) + rng.choice([" ", "  ", "\n"]) for _ in range(12)) for _ in range(12)]
+    different = 0
+    for key, text in enumerate(texts):
+        got = encoder.encode(text, key - 5)
+        assert got == naive_pieces(library, text, key - 5, 0.3), text
+        different += got != encoder.encode(text, key + 99)
+    assert different > 10
+    ids, counts = encoder.encode_all(texts, list(range(-5, len(texts) - 5)))
+    assert ids.tolist() == [i for key, text in enumerate(texts) for i in encoder.encode(text, key - 5)] and len(counts) == len(texts)
+
+
+def test_long_texts_are_cut_alike_in_any_chunks(monkeypatch):
+    text = "some words of a longer text\nand  more " * 300
+    whole = pieces.Encoder().encode(text, 3)
+    monkeypatch.setattr(pieces, "CHUNK", 1000)
+    monkeypatch.setattr(pieces, "LONG_CHUNK", 17)
+    assert pieces.Encoder().encode(text, 3) == whole
 
 
 # 7 Exact copies
