@@ -434,27 +434,100 @@ def test_shards_are_even_gapless_and_keep_small_groups_together(spark, docs, cor
 # 10 Mixing
 
 
-def test_targets():
-    assert mixing.targets([("a", 100), ("b", 100), (None, 100)], [3, 1, 2], 1.5, 2.0) == {"a": 200.0, "b": pytest.approx(250 / 3), None: pytest.approx(500 / 3)}
-    assert mixing.targets([], [3], 1.5, 2.0) == {} and mixing.targets([("a", 10)], [3, 1, 2], 1.5, 2.0) == {"a": 15.0}
-    assert mixing.targets([("z", 1), ("B", 1)], [3, 1], 1.0, 9.0)["B"] == 1.5
+def brute_targets(sizes, weights, share, limit):
+    named = sorted((x for x in sizes if x is not None), key=lambda x: x.encode()) + [x for x in sizes if x is None]
+    weight, left, out, rest = {s: weights[i % len(weights)] for i, s in enumerate(named)}, share * sum(sizes.values()), {}, dict(sizes)
+    while rest:
+        full = [s for s, n in rest.items() if left * weight[s] / sum(weight[x] for x in rest) > limit * n]
+        if not full:
+            return out | {s: left * weight[s] / sum(weight[x] for x in rest) for s in rest}
+        left -= sum(limit * rest[s] for s in full)
+        out |= {s: limit * rest.pop(s) for s in full}
+    return out
+
+
+def brute_mix(rows, share=1.5, limit=2.0, weight=None):
+    """Copies of (id, text, source): every source put in order whole. The hash, shared with the operator, comes as a function."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _, _ in rows]
+    w = [2 ** (math.floor(6 * math.log2(weight or math.log2(2 + n)) + 0.5) / 6) for n in size]
+    totals = Counter()
+    for (_, _, s, _), n in zip(rows, size):
+        totals[s] += n
+    goal, copies = brute_targets(totals, (3, 1, 2), share, limit), [0] * len(rows)
+    for s in totals:
+        mine = [i for i, r in enumerate(rows) if r[2] == s]
+        expected, full = dict.fromkeys(mine, 0.0), set()
+        while totals[s]:
+            rest = [i for i in mine if i not in full]
+            c = (goal[s] - limit * sum(size[i] for i in full)) / (sum(w[i] * size[i] for i in rest) or 1)
+            expected = {i: limit if i in full else c * w[i] for i in mine}
+            more = {i for i in rest if expected[i] > limit}
+            if not more:
+                break
+            full |= more
+        need = goal[s] - sum(int(expected[i]) * size[i] for i in mine)
+        u = {i: ((rows[i][3] % 2**64 >> 12) + 0.5) / 2**52 for i in mine}
+        for i in mine:
+            copies[i] = int(expected[i])
+        odds = {i: u[i] / (1 - u[i]) * (1 - p) / p for i in mine if (p := expected[i] - int(expected[i])) > 1e-12}
+        for i in sorted(odds, key=lambda i: (odds[i], rows[i][3])):
+            if abs(need - size[i]) < abs(need) or not size[i] and need > 0:
+                copies[i] += 1
+            need -= size[i]
+            if need <= 0:
+                break
+    return size, goal, copies
+
+
+def mixed(df):
+    from pyspark.sql import functions as F
 
+    keyed = df.withColumn("hash", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text"))
+    return [((r["doc_id"], r["text"], r["source"], r["hash"]), r) for r in mixing.mix(keyed).collect()]
 
-def test_mix_meets_targets_and_reruns_agree(spark, docs, corpus, nothing):
+
+def test_mix_equals_brute_force(spark):
     rng = random.Random(10)
-    rows = [(i, prose(rng, rng.randint(1, 40)), None if i % 9 == 0 else f"s{i % 4}") for i in range(3000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
-    found = mixing.mix(df).collect()
+    rows = [(i, prose(rng, rng.randint(1, 400) if i % 5 else rng.randint(1, 12)) if i % 50 else rng.choice([None, "", " \t"]), rng.choice([None, "a", "B", "é", "😀"]) if i % 3 else "hot") for i in range(1500)]
+    found = mixed(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5))
+    size, goal, copies = brute_mix([x for x, _ in found])
+    taken, words = Counter(), Counter()
+    for (x, r), n, c in zip(found, size, copies, strict=True):
+        assert r["__pl_size"] == n and r["__pl_target"] == pytest.approx(goal[x[2]]) and (not n or r["__pl_copies"] == c), x
+        taken[x[2]] += c * n
+        words[x[2]] += n
+    assert all(abs(taken[s] - goal[s]) <= 200 and goal[s] <= 2 * words[s] + 1e-6 for s in goal)
+    assert len({(n, c) for n, c in zip(size, copies) if 100 < n < 110}) > 2  # chances differ, draws too
+    even = brute_targets(dict(words), (3, 1, 2), 1.5, 2.0)
+    assert even == goal and sum(goal.values()) == pytest.approx(1.5 * sum(size))
+
+
+def test_a_document_s_chance_follows_its_weight(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, "one two three", "s", 1.0 + i % 3) for i in range(6000)], "doc_id long, text string, source string, w double")
+    got = {r["w"]: r["m"] for r in mixing.mix(df, share=0.5, weight=F.col("w")).groupBy("w").agg(F.avg("__pl_copies").alias("m")).collect()}
+    c = 0.5 * 3 / sum(2 ** (round(6 * math.log2(w)) / 6) for w in (1, 2, 3))
+    for w, m in got.items():
+        assert m == pytest.approx(c * 2 ** (round(6 * math.log2(w)) / 6), abs=0.03)
+    high = mixing.mix(df, share=1.5, weight=F.col("w")).groupBy("w").agg(F.min("__pl_copies").alias("lo"), F.max("__pl_copies").alias("hi")).collect()
+    assert {r["w"]: (r["lo"], r["hi"]) for r in high}[3.0] == (2, 2)  # stopped at the limit: certain
+
+
+def test_the_cut_falls_within_repeated_rows(spark, docs, corpus, nothing):
+    rows = [(1, "same text of five words", "a")] * 700 + [(2, None, "b")] * 30 + [(None, None, None)] * 10 + [(3, "x y", "b")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
     taken, target = Counter(), {}
-    for r in found:
+    for _, r in mixed(df):
         taken[r["source"]] += r["__pl_copies"] * r["__pl_size"]
         target[r["source"]] = r["__pl_target"]
-        assert r["__pl_size"] == len(r["text"].split()) and 0 <= r["__pl_copies"] <= 2
-    assert all(abs(taken[s] - t) <= 25 for s, t in target.items())
-    assert sorted((r["doc_id"], r["__pl_copies"]) for r in mixing.mix(df.repartition(2)).collect()) == sorted((r["doc_id"], r["__pl_copies"]) for r in found)
-    assert mixing.mixed_rows(df).count() == sum(r["__pl_copies"] for r in found)
-    small = mixing.mix(docs.drop("key"), id_col="doc_id").collect()
-    assert len(small) == len(corpus) and mixing.mixed_rows(docs).columns == docs.columns and mixing.mix(nothing).count() == 0
+    assert all(abs(taken[s] - t) <= 2.5 for s, t in target.items()) and target[None] == 0
+    from pyspark.sql import functions as F
+
+    clash = docs.drop("key").withColumns({c: F.lit(1) for c in ("last", "cs", "s", "bin", "rank", "need", "total", "target", "h", "tie", "step")})
+    out = mixing.mix(clash)
+    assert out.count() == len(corpus) and mixing.mixed_rows(clash).columns == clash.columns and mixing.mix(nothing).count() == 0
+    assert sorted(map(repr, mixing.mixed_rows(clash).select("doc_id", "text").collect())) == sorted(map(repr, mixing.mixed_rows(clash.repartition(2)).select("doc_id", "text").collect()))
 
 
 # Queries and pipeline
