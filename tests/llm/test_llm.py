@@ -118,18 +118,15 @@ def vectors():
     rows = [centre[i % 6] + 0.03 * (1 + i % 5) * rng.standard_normal(64) for i in range(240)] + list(rng.standard_normal((100, 64)))
     out = [(i, [float(x) for x in np.float32(v)], i % 3) for i, v in enumerate(rows)]
     out += [(900, out[0][1], 0), (901, [2 * x for x in out[0][1]], 0), (902, None, 1), (903, [0.0] * 64, 1), (904, [float("nan")] + [1.0] * 63, 1), (905, [None] + [1.0] * 63, 1), (906, [1.0, 2.0], 1), (907, [], 1), (908, [math.inf] * 64, 1)]
-    return [*out, out[5]]
+    out += [(910 + i, out[i][1][:20], 0) for i in range(60)] + [(980, [2.0, 4.0], 1), (981, [-1.0, 2.0], 1), (982, [1.0] * 700, 1), (983, [1.0] * 699 + [1.1], 1), (990, out[0][1][:63], 0)]
+    return [*out, out[5], out[347]]
 
 
-def test_embeddings_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "TILE", 16)
-    rows = vectors()
-    unit = []
-    for _, v, _ in rows:
-        ok = v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v) and any(v)
-        unit.append(np.array(v) / np.linalg.norm(v) if ok else np.zeros(64))
-    cosine = np.array(unit) @ np.array(unit).T
-    links = (cosine >= 0.95) & ~np.eye(len(rows), dtype=bool)
+def brute_vectors(rows):
+    """(id, links, least id reachable) of each row; vectors of different lengths never link."""
+    usable = lambda v: v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    unit = [np.array(v) / np.linalg.norm(v) if usable(v) else None for _, v, _ in rows]
+    links = np.array([[i != j and a is not None and b is not None and len(a) == len(b) and float(a @ b) >= 0.95 for j, b in enumerate(unit)] for i, a in enumerate(unit)])
     parent = list(range(len(rows)))
 
     def find(x):
@@ -142,9 +139,31 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     least = {}
     for i, r in enumerate(rows):
         least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return [(r[0], int(links[i].sum()), least[find(i)]) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("hot", [32, 4, 1000])
+def test_embeddings_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    monkeypatch.setattr(embedding_dedup, "HOT", hot)
+    rows = vectors()
+    expected = brute_vectors(rows)
     found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)).collect()
-    same([(r["vec_id"], r["n_links"], r["component_id"]) for r in found], [(r[0], int(links[i].sum()), least[find(i)]) for i, r in enumerate(rows)])
-    assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    same([(r["vec_id"], r["n_links"], r["component_id"]) for r in found], expected)
+    assert dict((i, n) for i, n, _ in expected)[982] == 1 and sum(n > 0 for i, n, _ in expected if 910 <= i < 970) > 20
+    if hot == 32:
+        assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_bands_leave_few_pairs_apart():
+    """The share of pairs at the threshold that no band holds together, by drawing differing bits."""
+    rng = np.random.default_rng(2)
+    bands = embedding_dedup.band_plan(1 << 14, 0.95, 512)
+    differ = rng.random((20_000, 512)) < math.acos(0.95) / math.pi
+    missed = np.ones(len(differ), bool)
+    for at in bands:
+        missed &= differ[:, at].any(1)
+    assert missed.mean() <= 5 * embedding_dedup.MISS
 
 
 def test_estimates_are_unbiased_and_bounds_hold():
