@@ -4,11 +4,14 @@ Texts are read whole as UTF-8: A-Z is lower-cased and words are runs of a-z, 0-9
 automaton over the words, joined by single spaces, finds every place of every notice phrase and of the identifier tags.
 What follows a tag is parsed as a licence expression: ``and``, ``or``, ``with`` and parentheses, in any case; ``with``
 binds tightest and joins an exception to one licence, then ``and``, then ``or``. An expression gives its licences as
-labels; a broken one gives those read before the break.
+labels; a broken one gives those read before the break. A complete one is evaluated: whether someone who accepts a given
+set of licences can meet it, by one side of each ``or`` and both of each ``and``; a text is usable if all of its tags are.
 
 Score: 1 for a well-formed identifier tag, else 1 - 0.5 ** (0.5 * places of base phrases + places of other notices), 0
 without either. Defined results: null, empty and wordless texts have no words, places or labels (empty strings), null
-positions and score 0; repeated rows are scanned alike; an empty table gives an empty result; extra columns pass.
+positions and score 0; ``usable`` is null without a tag, and false if a tag's expression is broken; texts and expressions of
+any length are read whole; of phrases that start at one place all count; repeated rows are scanned alike; an empty table
+gives an empty result; extra columns pass, except that one of the name of the result is replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ NOTICES = {
     "creative commons zero": "cc0", "cc0 1 0 universal": "cc0", "free and unencumbered software released into the public domain": "unlicense",
     "do what the fuck you want to public license": "wtfpl", "all rights reserved": "all-rights-reserved", "academic free license": "afl", "artistic license": "artistic",
 }
+#: Labels, or identifiers, of licences that are accepted unless others are named.
+ACCEPTED = ("mit", "apache", "bsd", "isc", "cc0", "cc-by", "unlicense", "zlib", "bsl-1.0", "0bsd", "python-2.0", "gpl-2.0-only with classpath-exception-2.0")
 TAGS = ("spdx license identifier",)
 #: What a tag looks like in a text; its expression ends where the parser stops.
 TAG = re.compile(rb"spdx-license-identifier\s*:")
@@ -113,14 +118,24 @@ def read_expression(text: bytes, at: int) -> tuple[tuple | None, list[str], int]
     return out[0], names, at
 
 
-def allows(tree, allowed: set[str]) -> bool:
-    """Whether a user who accepts ``allowed`` licences can meet the expression."""
-    if isinstance(tree, str):
-        return tree in allowed
-    op, left, right = tree
-    if op == "with":
-        return allows(left, allowed)
-    return allows(left, allowed) and allows(right, allowed) if op == "and" else allows(left, allowed) or allows(right, allowed)
+def allows(tree, accepted) -> bool:
+    """Whether someone who accepts these licences, by identifier, by label or as ``licence with exception``, can meet the expression.
+
+    Works a stack, as expressions may nest deeper than calls can.
+    """
+    todo, values = [(tree, False)], []
+    while todo:
+        node, done = todo.pop()
+        if isinstance(node, str):
+            values.append(node in accepted or family(node) in accepted)
+        elif node[0] == "with":
+            values.append(node[1] in accepted or family(node[1]) in accepted or f"{node[1]} with {node[2]}" in accepted)
+        elif done:
+            right, left = values.pop(), values.pop()
+            values.append(left and right if node[0] == "and" else left or right)
+        else:
+            todo += [(node, True), (node[2], False), (node[1], False)]
+    return values[0]
 
 
 def automaton():
@@ -134,8 +149,8 @@ def automaton():
     return found
 
 
-def scan(text: str | None, matcher) -> tuple:
-    """(n_words, n_base, first_word, last_word, base_labels, labels, expressions, score)."""
+def scan(text: str | None, matcher, accepted=frozenset(ACCEPTED)) -> tuple:
+    """(n_words, n_base, first_word, last_word, base_labels, labels, expressions, usable, score)."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.translate(WORD_BYTES).split()
     line = b" ".join([b"", *words, b""]).decode("latin-1") if words else ""
@@ -149,32 +164,34 @@ def scan(text: str | None, matcher) -> tuple:
             labels.add(label)
         else:
             tagged = True
-    expressions, whole = [], False
+    expressions, whole, usable = [], False, None
     if tagged:
         lowered = raw.lower()
         for found in TAG.finditer(lowered):
             tree, names, stop = read_expression(lowered, found.end())
             labels.update(family(n) for n in names if n not in ("none", "noassertion"))
             whole |= tree is not None
+            usable = (usable is not False) and tree is not None and allows(tree, accepted)
             expressions.append(lowered[found.end() : stop].decode("utf-8", "replace").strip())
     first, last = (line.count(" ", 0, min(starts)), line.count(" ", 0, max(starts))) if starts else (None, None)
     score = 1.0 if whole else 1 - 0.5 ** (0.5 * len(starts) + notices)
-    return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), expressions, score
+    return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), expressions, usable, score
 
 
-FOUND = "struct<n_words: bigint, n_base: bigint, first_word: bigint, last_word: bigint, base_labels: string, labels: string, expressions: array<string>, score: double>"
+FOUND = "struct<n_words: bigint, n_base: bigint, first_word: bigint, last_word: bigint, base_labels: string, labels: string, expressions: array<string>, usable: boolean, score: double>"
 
 
-def with_licenses(df: DataFrame, text: str = "text", name: str = "__pl_licenses") -> DataFrame:
-    """``df`` with a struct of what each whole text says about its licence."""
+def with_licenses(df: DataFrame, text: str = "text", name: str = "__pl_licenses", accepted: tuple = ACCEPTED) -> DataFrame:
+    """``df`` with a struct of what each whole text says about its licence; ``accepted``: lower-case licences or labels."""
     ship(df.sparkSession)
+    known = frozenset(accepted)
 
     @F.arrow_udf(FOUND)
     def licenses(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = automaton()
-        kinds = pa.struct([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("expressions", pa.list_(pa.string())), ("score", pa.float64())])
+        kinds = pa.struct([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("expressions", pa.list_(pa.string())), ("usable", pa.bool_()), ("score", pa.float64())])
         names = [kinds.field(i).name for i in range(kinds.num_fields)]
         for texts in batches:
-            yield pa.array([dict(zip(names, scan(t.as_py(), matcher), strict=True)) for t in texts], kinds)
+            yield pa.array([dict(zip(names, scan(t.as_py(), matcher, known), strict=True)) for t in texts], kinds)
 
     return df.withColumn(name, licenses(F.col(text)))

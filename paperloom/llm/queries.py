@@ -30,7 +30,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.license_scan import with_licenses
 
     found = with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", *[F.col(f"__pl_licenses.{c}") for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
+    return found.select("doc_id", *[F.col(f"__pl_licenses.{c}") for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "usable")])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
