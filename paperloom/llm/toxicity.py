@@ -10,9 +10,14 @@ embeddings start from their rows' log odds, without which the first windows woul
 The fit takes a bounded sample of labelled rows, ``PER_CLASS`` of each class by hash of their ids and at most
 ``FIT_BYTES`` characters of text of each class, where a text that doesn't fit is left out alone; scoring reads every whole text.
 
-Defined results: null, empty and wordless texts get the score of an empty bag, the softmax of the bias; repeated rows
-score alike; without labelled rows of both classes the score is 0.5 times the share of label 1 (0 without labels) and
-no text is called toxic; an empty table gives an empty result; other columns are not read.
+A word of more than ``LONGEST`` letters, as runs of letters are in scripts without spaces, is cut into pieces of ``PIECE``
+letters that overlap by half, which are words of their own, so a term inside it is seen.
+
+Defined results: null, empty and wordless texts get the score of an empty bag, the softmax of the bias; texts of any length
+are scored whole; repeated rows score alike; an id that has both labels counts as toxic; of windows that tie any gives the
+score; without labelled rows of both classes the score is 0.5 times the share of label 1 (0 without labels) and no text is
+called toxic; an empty table gives an empty result; other columns are not read, or pass, except that one of the name of the
+score is replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ from paperloom.plans.workspace import give_back, ship
 
 BUCKETS, DIMS, WINDOW = 1 << 18, 8, 4
 SHORT, LONG = 3, 5
+LONGEST, PIECE = 40, 16
 PER_CLASS, FIT_BYTES = 3000, 10_000_000
 EPOCHS, RATE, LAYER_RATE, DECAY, EPSILON = 60, 0.05, 0.02, 1e-6, 1e-4
 NEGATIVE_WEIGHT = 1.5
@@ -51,14 +57,16 @@ _WORD = re.compile(r"[^\W_]+(?:['@$!*][^\W_]+)*")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    found = _WORD.findall((text or "").lower())
+    if found and len(max(found, key=len)) > LONGEST:
+        step = PIECE // 2
+        found = [p for w in found for p in ([w] if len(w) <= LONGEST else [w[i : i + PIECE] for i in range(0, len(w) - step, step)])]
+    return found
 
 
 def grams(word: str) -> list[int]:
     """Rows of the embedding table for a word's bag."""
     edged = f"<{word}>"
-    if len(edged) > 48:  # such a token is data rather than a word: n-grams of its ends
-        edged = f"{edged[:24]}{edged[-24:]}"
     found = [edged] + [edged[i : i + n] for n in range(SHORT, LONG + 1) for i in range(len(edged) - n + 1)]
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in found]
 
@@ -218,7 +226,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic") -> Model:
     """Fit on a bounded sample of ``labels`` joined to ``docs``; both are read whole to find it."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").dropDuplicates(["id"])
+    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     order = F.xxhash64(F.lit(SEED), "id")
     sized = docs.select(F.col(id_col).alias("id"), F.length(text).alias("size")).join(known, "id")
     chosen: list = []
