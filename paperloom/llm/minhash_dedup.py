@@ -13,8 +13,10 @@
 5. Components come from alternating large-star and small-star passes.
 
 Defined results: texts that are null, empty or all white space have an empty set and link with nothing; fewer words
-than a shingle has are one shingle; repeated rows and repeated ids are documents of their own; a null id never becomes
-a component's id unless all of its ids are null; an empty table gives an empty result; other columns are not read.
+than a shingle has are one shingle; texts of any length are read whole; a similarity of exactly the threshold links;
+repeated rows and repeated ids are documents of their own, and of rows that tie the one read first stays; a null id never
+becomes a component's id unless all of its ids are null; an empty table gives an empty result; other columns, whatever
+their names, are not read, or pass through where rows are returned.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ HASHES = BANDS * ROWS
 MAX_MISMATCH = 48
 #: Beyond so many rows (16 bytes each) a list of rows is joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Classes with more than 1 in so many of the rows are settled on the map side; pairs of one class that a task joins.
+HEAVY, HUB_PAIRS = 2048, 512
 #: Largest bucket whose pairs are joined, and classes in a block of a larger one.
 SMALL, TILE = 16, 384
 #: Words remembered by a Python worker, and shingles hashed at once.
@@ -239,6 +243,16 @@ def _tile_matcher(percent: int):
     return match
 
 
+def _join_sets(pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
+    """``pairs`` with the set of their ``side``. The set of a class with many pairs, a hub, has a copy for each ``HUB_PAIRS`` of them."""
+    hubs = pairs.groupBy(side).agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("copies")).where("copies > 1").withColumnRenamed(side, "hub")
+    hubs = broadcast_if_small(save(hubs, "hubs"), BROADCAST_ROWS)
+    copies = F.coalesce("copies", F.lit(1))
+    dealt = pairs.join(hubs, F.col(side) == F.col("hub"), "left").withColumn("copy", F.pmod(F.xxhash64(other), copies).cast("int")).drop("hub", "copies")
+    copied = sets.join(hubs, F.col("node") == F.col("hub"), "left").select(F.col("node").alias(side), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), F.col("members").alias(f"set_{side}"))
+    return dealt.join(copied, [side, "copy"]).drop("copy")
+
+
 class _Search:
     """The steps over one table; ``docs`` is read again for the full sets of classes that have candidates."""
 
@@ -249,7 +263,8 @@ class _Search:
         rows = self.docs.select("id", F.monotonically_increasing_id().alias("uid"), "text_hash", "text")
         self.rows = save(rows.mapInArrow(_sketcher(k), SKETCH), "sketches")
         small = self.rows.where("n_shingles > 0").select("fp", "id", "uid", "text_hash", "n_shingles")
-        self.classes = save(small.groupBy("fp").agg(F.min("uid").alias("node"), F.min("id").alias("least")), "classes")
+        place = F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")
+        self.classes = save(small.groupBy("fp").agg(F.min("uid").alias("node"), F.min("id").alias("least"), F.min(place).alias("first"), F.count("*").alias("rows")), "classes")
 
     def buckets(self) -> DataFrame:
         """(key, node, n, bits) of buckets that hold two classes at least; deg tells how many others a class meets."""
@@ -292,19 +307,24 @@ class _Search:
         return self.confirm(pairs).union(dealt.mapInArrow(_tile_matcher(self.percent), "a long, b long"))
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """(node, members) of the classes ``wanted`` (uid), from their texts."""
+        """(node, members) of the classes ``wanted`` (uid), from their texts: one row a class, however often its text is repeated."""
         wanted = save(self.rows.select("uid", "id", "text_hash").join(broadcast_if_small(wanted, BROADCAST_ROWS), "uid", "left_semi"), "wanted")
         w = broadcast_if_small(wanted, BROADCAST_ROWS).alias("w")
-        texts = self.docs.alias("d").join(w, (F.col("d.text_hash") == F.col("w.text_hash")) & F.col("d.id").eqNullSafe(F.col("w.id")))
-        return save(texts.select(F.col("w.uid").alias("node"), F.col("d.text").alias("text")).mapInArrow(_set_maker(self.k), SETS), "sets")
+        same = lambda left: (F.col(f"{left}.text_hash") == F.col("w.text_hash")) & F.col(f"{left}.id").eqNullSafe(F.col("w.id"))
+        again = save(self.rows.alias("r").join(w, same("r")).groupBy("w.uid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("uid").alias("node")), "again")
+        texts = self.docs.alias("d").join(w, same("d")).select(F.col("w.uid").alias("node"), F.col("d.text").alias("text"))
+        if again.limit(1).count():
+            repeated = broadcast_if_small(again, BROADCAST_ROWS)
+            texts = texts.join(repeated, "node", "left_anti").union(texts.join(repeated, "node", "left_semi").dropDuplicates(["node"]))
+        return save(texts.mapInArrow(_set_maker(self.k), SETS), "sets")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
         pairs = save(pairs, "pairs")
         sets = self.sets_of(pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct())
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
-        same = F.size(F.array_intersect("ma", "mb"))
-        links = save(both.where(100 * same >= self.percent * (F.size("ma") + F.size("mb") - same)).select("a", "b").distinct(), "links")
+        both = _join_sets(_join_sets(pairs, sets, "a", "b"), sets, "b", "a")
+        same = F.size(F.array_intersect("set_a", "set_b"))
+        links = save(both.where(100 * same >= self.percent * (F.size("set_a") + F.size("set_b") - same)).select("a", "b").distinct(), "links")
         discard(sets, pairs)
         return links
 
@@ -323,14 +343,19 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", k
     ``kept`` is id = component_id; ``row_kept`` marks exactly one row of each component, also where ids repeat or are null.
     """
     search = _Search(df, text, id_col, k, percent)
-    placed = search.classes.join(search.components(), "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
-    placed = save(placed, "placed")
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = save(placed.join(least, "root").select("fp", "root", "component_id"), "by_class")
-    rows = search.rows.where("n_shingles > 0").select("id", "uid", "text_hash", "n_shingles", "fp").join(by_class, "fp")
-    rows = save(rows.select("id", "uid", "text_hash", "n_shingles", "component_id", "root"), "rows")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid"))["uid"].alias("first_uid"))
-    found = rows.join(first, "root").select("id", "n_shingles", "component_id", (F.col("uid") == F.col("first_uid")).alias("row_kept"), "text_hash")
+    roots = save(search.components(), "roots")
+    linked = search.classes.join(broadcast_if_small(roots, BROADCAST_ROWS), "node").select("fp", "root", "least", "first", "rows")
+    of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first")["uid"].alias("first_uid"))
+    linked = save(linked.select("fp", "root", "rows").join(broadcast_if_small(save(of_root, "of_root"), BROADCAST_ROWS), "root").select("fp", "rows", "component_id", "first_uid"), "linked")
+    # A class of several rows that is linked with no other; what then remains are rows of their own.
+    unlinked = search.classes.where("rows > 1").join(broadcast_if_small(roots.select("node"), BROADCAST_ROWS), "node", "left_anti")
+    decided = save(linked.union(unlinked.select("fp", "rows", F.col("least").alias("component_id"), F.col("first")["uid"].alias("first_uid"))), "decided")
+    rows = search.rows.where("n_shingles > 0").select("id", "uid", "text_hash", "n_shingles", "fp")
+    heavy = F.broadcast(decided.where(F.col("rows") * HEAVY > rows.count()).drop("rows"))  # fewer than HEAVY classes
+    light = broadcast_if_small(decided.where(F.col("rows") * HEAVY <= rows.count()).drop("rows"), BROADCAST_ROWS)
+    known = rows.join(heavy, "fp").unionByName(rows.join(heavy, "fp", "left_anti").join(light, "fp", "left"))
+    single = F.col("first_uid").isNull()
+    found = known.select("id", "n_shingles", F.when(single, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), (single | (F.col("uid") == F.col("first_uid"))).alias("row_kept"), "text_hash")
     alone = search.rows.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), F.lit(True).alias("row_kept"), "text_hash")
     return found.union(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"), "text_hash", "row_kept")
 

@@ -99,6 +99,26 @@ def test_minhash_tiles_equal_brute_force(docs, corpus, monkeypatch):
     same([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in found], components(corpus))
 
 
+def test_minhash_with_many_repeated_rows_and_a_hub(spark, monkeypatch):
+    rng = random.Random(6)
+    base = prose(rng, 120).split()
+    rows = [(7, " ".join(base))] * 300 + [(9, " ".join(["new", *base[1:]]))] * 300 + [(None, " ".join(base[:-1]))] * 5
+    for i in range(60):
+        words = list(base)
+        words[rng.randrange(120)] = f"v{i}"
+        rows.append((100 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    search = minhash_dedup._Search(df, "text", "doc_id", 5, 75)
+    sets = search.sets_of(search.classes.select("node").toDF("uid"))
+    assert sets.count() == search.classes.count() == 63
+    monkeypatch.setattr(minhash_dedup, "HUB_PAIRS", 4)
+    for heavy in (2048, 2):
+        monkeypatch.setattr(minhash_dedup, "HEAVY", heavy)
+        found = minhash_dedup.near_duplicates(df).collect()
+        same([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in found], components(rows))
+        assert sum(r["row_kept"] for r in found) == 1 and minhash_dedup.drop_near_duplicates(df).count() == 1
+
+
 def test_minhash_keeps_one_row_of_each_component(docs, corpus, nothing):
     left = minhash_dedup.drop_near_duplicates(docs)
     assert left.columns == docs.columns
@@ -220,7 +240,42 @@ def test_expressions():
         assert license_scan.parse_expression(broken)[0] is None
     assert license_scan.parse_expression(b"mit */")[0] == "mit" and license_scan.allows(tree, {"mit"}) and not license_scan.allows(tree, {"apache-2.0"})
     found = license_scan.scan(LICENCES[9], license_scan.automaton())
-    assert found[5] == "apache,gpl,mit" and found[7] == 1.0
+    assert found[5] == "apache,gpl,mit" and found[7:] == (True, 1.0)
+
+
+def test_expressions_equal_brute_force():
+    """Random trees, written with as few parentheses as precedence allows, and what one who accepts some of them can use."""
+    rng, names = random.Random(12), ["mit", "apache-2.0", "gpl-3.0-or-later", "zlib", "epl-2.0", "bsd-3-clause", "agpl-3.0-only"]
+
+    def tree(depth):
+        if not depth or rng.random() < 0.25:
+            return rng.choice(names) if rng.random() < 0.8 else ("with", rng.choice(names), "some-exception")
+        return (rng.choice(["and", "or"]), tree(depth - 1), tree(depth - 1))
+
+    def write(t):
+        if isinstance(t, str):
+            return t
+        if t[0] == "with":
+            return f"{t[1]} WITH {t[2]}"
+        left, right = (f"({write(x)})" if x[0] in ("and", "or") and (x[0] != t[0] or side) else write(x) for side, x in enumerate(t[1:]))
+        return f"{left} {t[0].upper()} {right}"
+
+    def can(t, accepted):
+        if isinstance(t, str):
+            return t in accepted
+        return {"with": lambda: can(t[1], accepted), "and": lambda: can(t[1], accepted) and can(t[2], accepted), "or": lambda: can(t[1], accepted) or can(t[2], accepted)}[t[0]]()
+
+    outcomes, matcher = Counter(), license_scan.automaton()
+    for _ in range(300):
+        t, accepted = tree(5), frozenset(rng.sample(names, 3))
+        found = license_scan.scan(f"x SPDX-License-Identifier: {write(t)}\n", matcher, accepted)
+        assert license_scan.parse_expression(write(t).lower().encode())[0] == t
+        assert found[7] == can(t, accepted) and found[8] == 1.0
+        outcomes[found[7]] += 1
+    assert min(outcomes[True], outcomes[False]) > 50
+    deep = "(" * 20_000 + "mit" + ")" * 20_000 + " and zlib" * 5000
+    assert license_scan.scan(f"SPDX-License-Identifier: {deep}", matcher)[7:] == (True, 1.0)
+    assert license_scan.scan("the MIT License", matcher)[7] is None
 
 
 # 5 WARC
@@ -258,8 +313,8 @@ def test_every_tag_of_a_line_and_long_expressions():
     scan = lambda text: license_scan.scan(text, license_scan.automaton())
     assert scan("SPDX-License-Identifier: MIT ... SPDX-License-Identifier: Apache-2.0")[5] == "apache,mit"
     assert scan("SPDX-License-Identifier: MIT SPDX-License-Identifier: Apache-2.0")[5] == "apache,mit"
-    assert scan("SPDX-License-Identifier: MIT AND SPDX-License-Identifier: Apache-2.0")[5:] == ("apache,mit", ["mit and", "apache-2.0"], 1.0)
-    assert scan("SPDX-License-Identifier: or -- SPDX-License-Identifier: ISC")[7] == 1.0
+    assert scan("SPDX-License-Identifier: MIT AND SPDX-License-Identifier: Apache-2.0")[5:] == ("apache,mit", ["mit and", "apache-2.0"], False, 1.0)
+    assert scan("SPDX-License-Identifier: or -- SPDX-License-Identifier: ISC")[7:] == (False, 1.0)
     assert scan("SPDX-License-Identifier: MIT AND\nApache-2.0")[5] == "mit"
     assert scan(f"SPDX-License-Identifier: {'MIT OR ' * 2000}Zlib")[5] == "mit,zlib"
 
@@ -413,6 +468,32 @@ def test_toxicity_on_held_out_rows_and_misspellings(spark, docs, nothing):
     assert bare.scorer()("idiot") == 0.0 and toxicity.train(nothing, df.select("doc_id", "toxic")).scorer()("x") == 0.0
 
 
+def test_scores_equal_brute_force_and_long_words_are_seen():
+    rng = random.Random(11)
+    rows = toxic_corpus(rng, 300)
+    model = toxicity.fit([t for _, t, _ in rows], [y for *_, y in rows])
+    score = model.scorer()
+
+    def brute(text):
+        words = re.findall(r"[^\W_]+(?:['@$!*][^\W_]+)*", text.lower())
+        value = []
+        for w in words:
+            edged = f"<{w}>"
+            bag = [edged] + [edged[i : i + n] for n in (3, 4, 5) for i in range(len(edged) - n + 1)]
+            value.append(sum(float(model.weights[zlib.crc32(g.encode()) % toxicity.BUCKETS]) for g in bag) / len(bag))
+        n = min(4, len(value))
+        best = max(sum(value[i : i + n]) / n for i in range(len(value) - n + 1)) if value else 0.0
+        return 1 / (1 + math.exp(-(best + model.bias)))
+
+    for text in ["", "one", "You IDIOT!", "stup!dity and wörthless", *[t for _, t, _ in rows[:40]]]:
+        assert score(text) == pytest.approx(brute(text), rel=1e-4)
+    clean, dirty = "漢字仮名交文" * 30, "漢字仮名交文" * 15 + "idiot" + "漢字仮名交文" * 15
+    assert score(dirty) > 1.5 * score(clean)
+    pieces_ = toxicity.words_of("x" * 30 + "worthless" + "y" * 30)
+    assert any("worthl" in p for p in pieces_) and "".join(p[:8] for p in pieces_[:-1]) + pieces_[-1] == "x" * 30 + "worthless" + "y" * 30
+    assert toxicity.words_of("a" * 40) == ["a" * 40]
+
+
 def test_an_oversized_labelled_text_shuts_out_no_other(spark, monkeypatch):
     from pyspark.sql import functions as F
 
