@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import trim
@@ -13,6 +13,16 @@ IMAGE_LIMIT, PDF_LIMIT, BATCH_LIMIT, CANVAS_PIXELS = 40 << 20, 80 << 20, 200 <<
 ENCODE_TYPES = {"image/png": ("PNG", "png", False), "image/jpeg": ("JPEG", "jpg", True), "image/webp": ("WebP", "webp", True)}
 
 
+def is_encode_type(mime: Column) -> Column:
+    """Whether pictures can be written as this type."""
+    return F.coalesce(mime.isin(*ENCODE_TYPES), F.lit(False))
+
+
+def encode_types(spark: SparkSession) -> DataFrame:
+    """(mime, label, extension, lossy)."""
+    return spark.createDataFrame([(m, *row) for m, row in ENCODE_TYPES.items()], "mime string, label string, extension string, lossy boolean")
+
+
 def round_half_up(c: Column) -> Column:
     """Ties go towards positive infinity, unlike ``round``."""
     return F.floor(c + 0.5)

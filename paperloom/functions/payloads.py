@@ -54,11 +54,22 @@ def normalize_urlish(c: Column) -> Column:
     return F.when(s.rlike("(?i)^[a-z][a-z0-9+.-]*:"), s).when(s.rlike(bare), F.concat(F.lit("https://"), s)).otherwise(s)
 
 
+#: Fixed texts, by score.
 STRENGTH = ("Very weak", "Weak", "Fair", "Good", "Strong")
+HINTS = (
+    "Trivially guessable.", "Add length — a short phrase beats a mangled word.", "More length helps more than more symbols.",
+    "A few more words would make it strong.", "Store it somewhere you will not lose it.",
+)
+#: Fixed: ciphers (id, label, hint) and what a file allows unless told otherwise.
+CIPHERS = (
+    ("AES-256", "AES-256", "Strongest. Needs Acrobat 9 or newer — effectively everything current."),
+    ("AES-128", "AES-128", "For very old readers. Still sound, but prefer AES-256."),
+)
+OPEN_PERMISSIONS = {"printing": "full", "modifying": True, "copying": True, "annotating": True, "filling": True}
 
 
 def password_strength(c: Column) -> Column:
-    """(score 0 to 4, label)."""
+    """(score 0 to 4, label, hint)."""
     n = F.length(c)
     kinds = sum(c.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     score = F.when(n >= 20, 4).when(n >= 14, 3).when(n >= 10, 2).otherwise(1)
@@ -66,7 +77,9 @@ def password_strength(c: Column) -> Column:
     less = F.when((kinds == 1) & (n < 16) & (more > 1), more - 1).otherwise(more)
     final = F.when(n < 6, 0).otherwise(less)
     label = F.when(F.coalesce(n, F.lit(0)) == 0, "Empty").when(n < 6, "Too short").otherwise(F.element_at(F.array(*map(F.lit, STRENGTH)), final + 1))
-    return F.struct(F.coalesce(final, F.lit(0)).alias("score"), label.alias("label"))
+    by_score = F.element_at(F.array(*map(F.lit, HINTS)), final + 1)
+    hint = F.when(F.coalesce(n, F.lit(0)) == 0, "Anyone can open the file.").when(n < 6, "Use at least 8 characters.").otherwise(by_score)
+    return F.struct(F.coalesce(final, F.lit(0)).alias("score"), label.alias("label"), hint.alias("hint"))
 
 
 def describe_permissions(printing: Column, copying: Column, modifying: Column, annotating: Column, filling: Column) -> Column:

@@ -67,3 +67,34 @@ def describe_recovery(counts: DataFrame, doc: str = "doc_id") -> DataFrame:
 def describe_furniture(lines: Column) -> Column:
     said = F.concat(F.lit("Left out "), counted(lines, "repeated header or footer line"), F.lit(", which would otherwise appear between the paragraphs on every page."))
     return F.when(lines > 0, said).otherwise("")
+
+
+#: Fixed: what a conversion to pages doesn't carry over.
+LAYOUT_CAVEATS = (
+    "A nested table gets no cell formatting at all",
+    "A page break in the middle of a paragraph is not reproduced; one before a paragraph, or on its own, is",
+    "A text box keeps its content but is placed in the reading flow, not at its position on the page",
+    "Shapes and their fills are not drawn",
+    "Columns are equal width and are not balanced on the last page; a document that changes column count part-way uses its first section throughout",
+    "Bold and italic in Indic, Arabic, Hebrew and Thai are synthesised rather than drawn from a designed face",
+)
+
+
+def describe_printing(pages: Column, blocks: Column, scripts: Column, missing_scripts: Column, right_to_left: Column, unsupported: Column, metric_fonts: Column, styled: Column, width: Column, height: Column, links: Column, dropped: Column) -> Column:
+    """What a document's conversion to pages kept. ``scripts`` and ``missing_scripts`` are arrays of scripts' names,
+    ``unsupported`` of characters; width and height are null where the document doesn't say."""
+    number = lambda n: n.cast("string")
+    few = F.array_join(F.slice(unsupported, 1, 6), " ")
+    why = F.when(metric_fonts, "no embedded font covers them").otherwise("the font files could not be loaded, so the built-in fonts were used and those cover Latin only")
+    parts = [
+        F.concat(number(pages), F.when(pages == 1, " page").otherwise(" pages"), F.lit(" from "), number(blocks), F.lit(" blocks.")), F.lit("Text is selectable and searchable."),
+        F.when(F.size(scripts) > 0, F.concat(F.array_join(scripts, ", "), F.lit(" rendered with an embedded font for that script."))),
+        F.when(right_to_left, "Right-to-left text is shaped and reordered for display."),
+        F.when(F.size(missing_scripts) > 0, F.concat(F.lit("Could not load a font for "), F.array_join(missing_scripts, ", "), F.lit(', so that text became "?".'))),
+        F.concat(counted(F.size(unsupported), "character"), F.lit(" could not be drawn ("), few, F.lit(') and became "?" — '), why, F.lit(".")),
+        F.when(~metric_fonts, "Line breaks may differ from Word: the metric-compatible fonts did not load."),
+        F.concat(F.lit("Alignment, sizes, indents and tab stops recovered for "), counted(styled, "paragraph"), F.lit(".")),
+        F.concat(F.lit("Page size taken from the document ("), number(F.floor(width + 0.5)), F.lit("x"), number(F.floor(height + 0.5)), F.lit(" pt).")),
+        F.concat(counted(links, "link"), F.lit(" stayed clickable.")), F.concat(counted(dropped, "image"), F.lit(" in an unsupported format were left out.")),
+    ]
+    return F.array_join(F.array(*parts), " ")  # leaves out nulls

@@ -118,6 +118,12 @@ def unsupported_characters(c: Column) -> Column:
     return F.array_distinct(characters(F.regexp_replace(c, SUPPORTED, "")))
 
 
+def drawable(c: Column, missing: Column) -> Column:
+    """``c`` with each of the ``missing`` characters as a question mark, which is what is measured and drawn."""
+    shown = F.array_join(F.transform(characters(c), lambda x: F.when(F.array_contains(missing, x), F.lit("?")).otherwise(x)), "")
+    return F.when(F.size(missing) > 0, shown).otherwise(c)
+
+
 def unmapped_count(c: Column) -> Column:
     """Private-use, replacement and control characters, tabs and line feeds excepted."""
     return F.length(c) - F.length(F.regexp_replace(c, r"[\x{E000}-\x{F8FF}\x{FFFD}\x{F0000}-\x{FFFFD}\x{0}-\x{8}\x{B}-\x{1F}]", ""))

@@ -30,22 +30,20 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that has a link; ``root`` is the smallest node of its component.
 
     Edges may repeat, run either way or join a node to itself (ignored); without edges the result is empty.
-    Each pass is written to the shared folder, so a lost executor costs one pass at most.
+    Each pass is written to the shared folder, so a lost executor costs one pass at most. Passes go on until one changes
+    nothing; their number grows with the square of the logarithm of the largest component at most.
     """
     now = save(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").distinct(), "edges")
     mark = _mark(now)
     if mark[0]:
-        for _ in range(max_rounds):
+        seen = None
+        while seen != mark:
             star = save(_small_star(_large_star(now).distinct()).distinct(), "edges")
             seen, mark = mark, _mark(star)
             discard(now)
             now = star
-            if seen == mark:
-                break
-        else:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -20,10 +20,12 @@ _live: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where none is set, a temporary folder (tests, one machine)."""
+    """The session's ``spark.checkpoint.dir``; only where none is set and Spark runs on one machine, a temporary folder."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     root = root or context.getCheckpointDir()
+    if not root and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         context.setCheckpointDir(root)
@@ -85,11 +87,15 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(rows, ARROW_ROWS)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out before an operator whose cost is in Python: few bytes are not little work, and adaptive execution, which
-    counts bytes, would put a small input into one task."""
-    spark = df.sparkSession
-    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def parts_of(spark: SparkSession) -> int:
+    """Parts for work whose cost is in Python: few bytes are not little work."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Deal a stored table's rows out before such work, if it is read in fewer parts than there are cores; else leave it."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(parts_of(table.sparkSession))
 
 
 def give_back() -> None:

@@ -266,3 +266,33 @@ def face_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.operators import markup
 
     return markup.face_needs(markup.exploded(spread(table(spark, sf_dir, "pages")), "page_id", "html"), "page_id")
+
+
+@query("""SELECT p_partkey, p_name AS text, 1 AS n_pages, CASE WHEN p_partkey % 2 = 0 THEN 'Helvetica-Bold' ELSE 'Helvetica' END AS fonts, 0 AS n_images, p_size + 8.0::DOUBLE AS largest, true AS inside
+FROM (SELECT p_partkey, p_name, 3.0 AS p_size FROM part)""")
+def pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text that was drawn into files and read back from them."""
+    from paperloom.operators import markup, paginate, pdf_text
+
+    ship(spark)
+    name = F.col("p_name")
+    html = F.concat(F.lit("<p>"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("<b>"), name, F.lit("</b>"))).otherwise(name), F.lit("</p>"))
+    files = spread(table(spark, sf_dir, "part")).select("p_partkey", paginate.pdf(markup.blocks(html)).alias("content"))
+    pages = pdf_text.pages_of(files, "p_partkey", "content")
+    items = F.col("items")
+    inside = F.forall(items, lambda i: (i["transform"][4] >= 0) & (i["transform"][4] + i["width"] <= F.col("width")) & (i["transform"][5].between(0, F.col("height"))))
+    return pages.select(
+        F.col("doc_id").alias("p_partkey"), F.array_join(F.transform(items, lambda i: i["text"]), " ").alias("text"), (F.col("page") + 1).alias("n_pages"), F.array_join("fonts", ",").alias("fonts"),
+        F.col("image_count").alias("n_images"), F.array_max(F.transform(items, lambda i: i["transform"][0])).alias("largest"), inside.alias("inside"),
+    )
+
+
+@query("""SELECT p_partkey, p_name AS text, 'paragraph' AS kind, 0 AS seq FROM part WHERE p_partkey % 2 = 1""")
+def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to blocks: reading, layout inference and furniture in one."""
+    from paperloom.operators import markup, paginate, pdf_text
+
+    ship(spark)
+    parts = spread(table(spark, sf_dir, "part").where("p_partkey % 2 = 1"))
+    files = parts.select("p_partkey", paginate.pdf(markup.blocks(F.concat(F.lit("<p>"), "p_name", F.lit("</p>")))).alias("content"))
+    return pdf_text.documents(files, "p_partkey", "content").select(F.col("doc_id").alias("p_partkey"), "text", "kind", "seq")

@@ -160,7 +160,7 @@ PASSWORDS = [("", 0, "Empty"), ("abc", 0, "Too short"), ("abcdefgh", 1, "Weak"),
 
 @query(f"SELECT password, score, label FROM {sql_values(PASSWORDS, 'password, score, label')}")
 def password_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, PASSWORDS, "password string, s int, l string").select("password", P.password_strength(F.col("password")).alias("s")).select("password", "s.*")
+    return values(spark, PASSWORDS, "password string, s int, l string").select("password", P.password_strength(F.col("password")).alias("s")).select("password", "s.score", "s.label")
 
 
 PERMISSIONS = [
@@ -256,3 +256,50 @@ def unit_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = values(spark, UNITS, "source string, r double, g double, b double").select("source", hex_to_unit(F.col("source")).alias("c"))
     return found.select("source", *[F.round(f"c.{x}", 9).alias(x) for x in "rgb"])
+
+
+@query("""WITH k AS (SELECT p_partkey, p_brand || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN p_name ELSE p_type END AS w, p_partkey % 50 = 0 AS none FROM part),
+n AS (SELECT p_partkey, CASE WHEN none THEN '' ELSE w END AS w FROM k),
+c AS (SELECT p_partkey, w, length(w) AS n, (regexp_matches(w, '[a-z]')::INT + regexp_matches(w, '[A-Z]')::INT + regexp_matches(w, '[0-9]')::INT + regexp_matches(w, '[^A-Za-z0-9]')::INT) AS kinds FROM n),
+b AS (SELECT *, CASE WHEN n >= 20 THEN 4 WHEN n >= 14 THEN 3 WHEN n >= 10 THEN 2 ELSE 1 END AS s FROM c),
+f AS (SELECT *, CASE WHEN n < 6 THEN 0 WHEN kinds >= 3 AND s < 4 THEN s + 1 WHEN kinds = 1 AND n < 16 AND s > 1 THEN s - 1 ELSE s END AS score FROM b)
+SELECT p_partkey, score, CASE WHEN n = 0 THEN 'Anyone can open the file.' WHEN n < 6 THEN 'Use at least 8 characters.' ELSE
+['Trivially guessable.', 'Add length — a short phrase beats a mangled word.', 'More length helps more than more symbols.', 'A few more words would make it strong.', 'Store it somewhere you will not lose it.'][score + 1] END AS hint FROM f""")
+def password_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    tail = F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, F.col("p_name")).otherwise(F.col("p_type"))
+    word = F.when(F.col("p_partkey") % 50 == 0, "").otherwise(F.concat("p_brand", tail))
+    return parts.select("p_partkey", P.password_strength(word).alias("s")).select("p_partkey", "s.score", "s.hint")
+
+
+@query("""SELECT p_partkey, mime, e.label, coalesce(e.lossy, false) AS lossy, e.mime IS NOT NULL AS known
+FROM (SELECT p_partkey, ['image/png', 'image/jpeg', 'image/webp', 'image/gif', 'toString'][1 + p_partkey % 5] AS mime FROM part)
+LEFT JOIN (VALUES ('image/png', 'PNG', false), ('image/jpeg', 'JPEG', true), ('image/webp', 'WebP', true)) AS e(mime, label, lossy) USING (mime)""")
+def encode_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.functions import files
+
+    kinds = F.array(*map(F.lit, ("image/png", "image/jpeg", "image/webp", "image/gif", "toString")))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.get(kinds, (F.col("p_partkey") % 5).cast("int")).alias("mime"))
+    known = parts.join(F.broadcast(files.encode_types(spark)), "mime", "left")
+    return known.select("p_partkey", "mime", "label", F.coalesce("lossy", F.lit(False)).alias("lossy"), files.is_encode_type(F.col("mime")).alias("known"))
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, 1 + p_partkey % 3 AS pages, p_size AS blocks, p_partkey % 2 = 0 AS metric, p_partkey % 4 AS styled, p_partkey % 5 = 0 AS sized, p_partkey % 3 AS links, p_partkey % 7 = 0 AS arabic FROM part)
+SELECT k AS p_partkey, concat_ws(' ', pages || CASE WHEN pages = 1 THEN ' page' ELSE ' pages' END || ' from ' || blocks || ' blocks.', 'Text is selectable and searchable.',
+CASE WHEN arabic THEN 'Arabic, Thai rendered with an embedded font for that script.' END, CASE WHEN arabic THEN 'Right-to-left text is shaped and reordered for display.' END,
+CASE WHEN pages = 3 THEN 'Could not load a font for Tamil, so that text became "?".' END,
+CASE WHEN styled = 1 THEN '1 character could not be drawn (☃) and became "?" — ' || CASE WHEN metric THEN 'no embedded font covers them.' ELSE 'the font files could not be loaded, so the built-in fonts were used and those cover Latin only.' END
+     WHEN styled = 2 THEN '7 characters could not be drawn (a b c d e f) and became "?" — ' || CASE WHEN metric THEN 'no embedded font covers them.' ELSE 'the font files could not be loaded, so the built-in fonts were used and those cover Latin only.' END END,
+CASE WHEN NOT metric THEN 'Line breaks may differ from Word: the metric-compatible fonts did not load.' END,
+CASE WHEN styled > 0 THEN 'Alignment, sizes, indents and tab stops recovered for ' || styled || CASE WHEN styled = 1 THEN ' paragraph.' ELSE ' paragraphs.' END END,
+CASE WHEN sized THEN 'Page size taken from the document (595x842 pt).' END, CASE WHEN links > 0 THEN links || CASE WHEN links = 1 THEN ' link' ELSE ' links' END || ' stayed clickable.' END,
+CASE WHEN links = 2 THEN '1 image in an unsupported format were left out.' END) AS said FROM k""")
+def printing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.functions import reports
+
+    k = F.col("p_partkey")
+    words = lambda when, *names: F.when(when, F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>"))
+    missing = F.when(k % 4 == 1, F.array(F.lit("☃"))).otherwise(words(k % 4 == 2, *"abcdefg"))
+    sized = lambda x: F.when(k % 5 == 0, F.lit(x))
+    said = reports.describe_printing(1 + k % 3, F.col("p_size"), words(k % 7 == 0, "Arabic", "Thai"), words(k % 3 == 2, "Tamil"), k % 7 == 0, missing, k % 2 == 0, k % 4, sized(595.28), sized(841.89), k % 3, F.when(k % 3 == 2, 1).otherwise(0))
+    return table(spark, sf_dir, "part").select("p_partkey", said.alias("said"))

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as T
 from paperloom.functions.media import classify_image
 from paperloom.operators import catalogue, furniture, overlap
-from paperloom.plans.workspace import spread
+from paperloom.plans.workspace import parts_of
 from paperloom.queries.text import LINED, lines
 from paperloom.registry import query, sql_values, table, values
 
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, left, right): each document and the next by id."""
+    """(doc_id, left, right): each document and the next by id. Both sides are dealt out by id, which the join then keeps."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("right"))
-    return spread(docs.join(after, "doc_id").select("doc_id", F.col("text").alias("left"), "right"))
+    parts = parts_of(spark)
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("right")).repartition(parts, "doc_id")
+    return docs.repartition(parts, "doc_id").hint("merge").join(after, "doc_id").select("doc_id", F.col("text").alias("left"), "right")
 
 
 @query(f"""WITH l AS ({LINED}), c AS (SELECT doc_id, line, count(*) AS n FROM l GROUP BY ALL), pairs AS (SELECT a.doc_id FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),

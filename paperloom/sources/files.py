@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions.files import accepts, detect_container, looks_like_docx, looks_like_pdf
+from paperloom.functions.files import accepts, detect_container, format_bytes, looks_like_docx, looks_like_pdf
 from paperloom.functions.text import split_lines
 
 
@@ -21,9 +21,12 @@ def read_files(spark: SparkSession, path: str, extensions: list[str] | None = No
 
 
 def read_texts(spark: SparkSession, path: str, most_bytes: int = 40 << 20) -> DataFrame:
-    """(path, text, lines) of whole UTF-8 files."""
+    """(path, text, lines, reason) of whole UTF-8 files; larger ones aren't opened and have a reason instead of a text."""
     found = read_files(spark, path, most_bytes=most_bytes).select("path", F.decode("content", "UTF-8").alias("text"))
-    return found.withColumn("lines", split_lines(F.col("text")))
+    large = read_files(spark, path).where(F.col("length") > most_bytes)
+    reason = F.concat(F.lit("larger than "), format_bytes(F.lit(most_bytes)))
+    refused = large.select("path", F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<string>").alias("lines"), reason.alias("reason"))
+    return found.withColumn("lines", split_lines(F.col("text"))).withColumn("reason", F.lit(None).cast("string")).unionByName(refused)
 
 
 def decoded_images(spark: SparkSession, path: str) -> DataFrame:

@@ -68,6 +68,8 @@ def test_files_and_parts(spark, tmp_path):
     found = files.read_files(spark, str(tmp_path / "in"), most_bytes=1 << 20)
     assert {r["kind"] for r in found.collect()} == {"docx", None}
     assert [r["lines"] for r in files.read_texts(spark, str(tmp_path / "in" / "b.txt")).collect()] == [["x", "y"]]
+    refused = files.read_texts(spark, str(tmp_path / "in"), most_bytes=10).orderBy("path").collect()
+    assert [(r["path"][-5:], r["text"], r["reason"]) for r in refused] == [(".docx"[-5:], None, "larger than 10 B"), ("b.txt", "x\r\ny\n", None)]
     read = lambda: parts.read_parts(spark, f"file://{tmp_path}/in")
     assert read().where("part = 'word/document.xml'").count() == 1 and read().count() == 6
     out = spark.createDataFrame([("one.bin", bytearray(b"1")), ("two.bin", bytearray(b"22"))], "name string, content binary")
@@ -98,3 +100,21 @@ def test_furniture_and_columns(spark):
     schema = "doc_id long, page int, x double, right double, gaps array<struct<start:double,end:double>>, width double"
     assert multi_column(spark.createDataFrame(two, schema)).first()["multi_column"]
     assert not multi_column(spark.createDataFrame(two[:5], schema)).first()["multi_column"]
+
+
+def test_sitemaps_hold_every_address(spark):
+    import re
+
+    from paperloom.operators import catalogue
+
+    paths = spark.createDataFrame([(f"/p{i:03}", "0.8" if i % 3 else "0.9") for i in range(250)] + [("/", "1.0")], "path string, priority string")
+    whole = catalogue.sitemap_xml(paths, "https://x.org", "2026-01-01").collect()
+    assert len(whole) == 1 and whole[0]["xml"].count("<loc>") == 251 and whole[0]["xml"].index("org/</loc>") < whole[0]["xml"].index("/p000") < whole[0]["xml"].index("/p001")
+    several = catalogue.sitemap_xml(paths, "https://x.org", "2026-01-01", most=40)
+    found = several.orderBy("number").collect()
+    places = [p for r in found for p in re.findall("<loc>https://x.org(.*?)</loc>", r["xml"])]
+    assert max(r["xml"].count("<loc>") for r in found) <= 40 and [r["number"] for r in found] == list(range(len(found)))
+    assert places == re.findall("<loc>https://x.org(.*?)</loc>", whole[0]["xml"])
+    index = catalogue.sitemap_index(several, "https://x.org", "2026-01-01").collect()
+    assert len(index) == 1 and index[0]["xml"].count("<sitemap>") == len(found) and "sitemap-0.xml" in index[0]["xml"]
+    assert catalogue.sitemap_xml(paths.limit(0), "https://x.org", "2026-01-01").count() == 1
