@@ -6,8 +6,9 @@ finds digests that may be frequent; one pass counts those candidates exactly. Ve
 frequent, meet by an ordinary shuffle.
 
 Equal means: identical text, null counting as empty; texts are compared by SHA-256. Of equal texts the row with
-the largest id stays (a null id is smaller than any other; of repeated rows with that id exactly one stays).
-An empty table gives an empty result. Extra columns pass through; names of our own start with ``__pl_``.
+the largest id stays (a null id is smaller than any other; of repeated rows that tie for it exactly one stays).
+Texts of any length are digested whole and never shuffled, but for repeated rows that tie. An empty table gives
+an empty result. Extra columns of any name pass through; names of our own start with ``__pl_``.
 """
 
 from __future__ import annotations

@@ -10,9 +10,10 @@ Reading, format ``warc``: one partition a file (the writer bounds a file's recor
 headers are pushed down; a record's headers are parsed first, and a payload that isn't asked for, or whose record
 doesn't qualify, is skipped by a seek.
 
-Defined results: a null payload is empty; a row that repeats both id and payload of a response is a response too; among
-equal payloads a null id counts as smallest, and if all ids are null each row is a response; a null url has no
-WARC-Target-URI and line breaks in one become spaces; an empty table gives an empty archive; other columns aren't read.
+Defined results: a null payload is empty; payloads of any length are written and read whole; repeated rows that tie, with
+id and payload of a response, are responses too; among equal payloads a null id counts as smallest, and if all ids are null
+each row is a response; a null url has no WARC-Target-URI and line breaks in one become spaces; an empty table gives an empty
+archive; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
