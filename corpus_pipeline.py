@@ -2,8 +2,13 @@
 
 Each stage gets what the one before it kept, written as Parquet, and its decisions take effect: toxic documents go, one
 of equal texts stays, one of near-duplicate texts stays, sources are brought to their target weights (a document that
-is taken twice has two rows, told apart by a column copy, which are cut differently), and the mix is cut into pieces. The last stage returns doc_id, source, n_tokens and
-token_ids.
+is taken twice has two rows, told apart by a column copy, which are cut differently), and the mix is cut into pieces.
+The last stage returns doc_id, source, n_tokens and token_ids.
+
+Defined results are those of the operators: null, empty and wordless texts aren't toxic, are equal to each other (null counts
+as empty) and link with nothing, have no words to mix and no tokens (null for null); texts of any length are read whole; of
+texts that tie the row with the largest id stays in exact dedup, that with the smallest in near dedup; repeated rows count
+as equal texts; empty tables give empty results; extra columns of any name pass up to the mix.
 """
 
 from __future__ import annotations
