@@ -21,6 +21,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -28,10 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
-from paperloom.plans.workspace import broadcast_if_small, save, ship
+from paperloom.plans.workspace import save, ship
 
 RECORDS_PER_FILE = 20_000
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, HEAVY = 500_000, 2048
 END = "\r\n\r\n"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -72,8 +73,13 @@ def write_archive(df: DataFrame, path: str, payload: str = "html", id_col: str =
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("body"))
     rows = rows.withColumn("key", F.unhex(F.sha2("body", 256)))
     counted = rows.where(F.octet_length("body") >= min_bytes).groupBy("key").agg(F.max("id").alias("best"), F.count("*").alias("n"))
-    shared = save(counted.where("n > 1 and best is not null").select("key", "best"), "shared")
-    joined = rows.join(broadcast_if_small(shared, BROADCAST_ROWS), "key", "left")
+    shared = save(counted.where("n > 1 and best is not null"), "shared")
+    if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(shared.select("key", "best")), "key", "left")
+    else:  # frequent digests, fewer than HEAVY of them, are settled where their rows lie; only rows of the others are shuffled
+        often = shared.agg(F.sum("n")).first()[0] // HEAVY
+        heavy = F.broadcast(shared.where(F.col("n") > often).select("key", "best"))
+        joined = rows.join(heavy, "key").unionByName(rows.join(heavy, "key", "left_anti").join(shared.where(F.col("n") <= often).select("key", "best"), "key", "left"))
     own = F.col("best").isNull() | F.coalesce(F.col("id") == F.col("best"), F.lit(False))
     kind = F.when(own, F.lit("response")).otherwise(F.lit("revisit"))
     record = record_of(F.col("body"), kind, F.col("id"), F.col("best"), F.col("url"), date)
@@ -88,6 +94,7 @@ class _File(InputPartition):
 def _filesystem(path: str):
     from pyarrow import fs
 
+    path = re.sub("^s3[an]://", "s3://", path)  # Hadoop's names for what Arrow calls s3
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace(":/", ":///", 1))
 
 

@@ -281,7 +281,7 @@ def test_expressions_equal_brute_force():
 # 5 WARC
 
 
-def test_archive_round_trip(spark, tmp_path):
+def test_archive_round_trip(spark, tmp_path, monkeypatch):
     rows = [(1, "http://a", "<p>é</p>"), (2, "http://b\r\nX: y", "<p>é</p>"), (3, None, None), (4, "u", ""), (9, "u", "WARC/1.1\r\n\r\nfake"), (5, "u", "<p>é</p>"), (5, "u", "<p>é</p>"), (None, "u", "lone"), (None, "u", ""), (7, "u", "y" * 300_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
     for compression in ("none", "gzip"):
@@ -296,6 +296,10 @@ def test_archive_round_trip(spark, tmp_path):
         assert kinds == Counter({(1, "revisit", 5): 1, (2, "revisit", 5): 1, (5, "response", None): 2, (3, "revisit", 4): 1, (4, "response", None): 1, (None, "revisit", 4): 1, (9, "response", None): 1, (None, "response", None): 1, (7, "response", None): 1})
         assert warc.read_archive(spark, path, payload=False, verify=True).where("warc_type = 'revisit' and target_uri is not null").count() == 3
         assert warc.read_archive(spark, path, payload=False).select("payload").where("payload is not null").count() == 0
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(warc, "HEAVY", 2)  # one digest is frequent, the others are shuffled
+    warc.write_archive(df, f"file://{tmp_path}/shuffled")
+    assert sorted(repr((warc_id(r["record_id"]), r["warc_type"], warc_id(r["refers_to"]), r["payload_digest"])) for r in warc.read_archive(spark, f"file://{tmp_path}/shuffled").collect()) == sorted(repr((warc_id(r["record_id"]), r["warc_type"], warc_id(r["refers_to"]), r["payload_digest"])) for r in found)
     warc.write_archive(df, f"file://{tmp_path}/least", min_bytes=5)
     assert warc.read_archive(spark, f"file://{tmp_path}/least").where("warc_type = 'revisit'").count() == 2
     warc.write_archive(df.limit(0), f"file://{tmp_path}/empty")
