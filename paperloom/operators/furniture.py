@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import furniture_key
+from paperloom.plans.workspace import broadcast_if_small, save
 
 #: Share of the page at either end, share of pages, points of movement and share of the widest line.
 ZONE, PAGES, MOVE, WIDTH = 0.12, 0.6, 2.5, 0.7
+#: Repeated keys (of a line's length each) that are broadcast at most.
+BROADCAST_ROWS = 200_000
 
 
 def furniture(lines: DataFrame, doc: str = "doc_id", share: float = PAGES) -> DataFrame:
     """Adds ``is_furniture`` to lines of (doc, page, text, x, y, right, height), y upwards.
 
-    Keys are counted with partial aggregation and joined back; lines without a key in a zone never take part.
+    Keys are counted with partial aggregation; those that repeat enough are few and broadcast up to ``BROADCAST_ROWS``.
     """
     pages = lines.groupBy(doc).agg(F.count_distinct("page").alias("pages"))
     widest = lines.groupBy(doc, "page").agg(F.max(F.col("right") - F.col("x")).alias("widest"))
@@ -23,6 +26,7 @@ def furniture(lines: DataFrame, doc: str = "doc_id", share: float = PAGES) -> Da
     near = keyed.where("zone is not null and key <> ''")
     counted = near.groupBy(doc, "zone", "key").agg(F.count_distinct("page").alias("n"), (F.max("y") - F.min("y")).alias("moves"))
     repeated = counted.join(pages, doc).where((F.col("n") >= F.greatest(F.lit(2), F.ceil(share * F.col("pages")))) & (F.col("moves") <= MOVE)).select(doc, "zone", "key", F.lit(True).alias("is_furniture"))
+    repeated = broadcast_if_small(save(repeated, "repeated"), BROADCAST_ROWS)
     return keyed.join(repeated, [doc, "zone", "key"], "left").withColumn("is_furniture", F.coalesce("is_furniture", F.lit(False))).select(*lines.columns, "is_furniture")
 
 

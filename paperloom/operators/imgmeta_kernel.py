@@ -212,6 +212,7 @@ THUMBNAIL = (0x0201, 0x0202)
 #: TIFF type: (bytes, struct code). Floats stay bytes.
 TYPES = {1: (1, ""), 2: (1, ""), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, ""), 7: (1, ""), 8: (2, "h"), 9: (4, "i"), 10: (8, "ii"), 11: (4, ""), 12: (8, "")}
 MOST_DIRECTORIES, MOST_ENTRIES = 8, 4096
+#: Fixed by the format and by what reports say: turns by orientation, fields of XMP.
 TURNS = ("Normal", "Mirrored", "Rotated 180°", "Mirrored, rotated 180°", "Mirrored, rotated 90° CCW", "Rotated 90° CW", "Mirrored, rotated 90° CW", "Rotated 90° CCW")
 XMP = (
     (r"xmp:CreatorTool>([^<]+)<", "Created with", "software"), (r'xmp:CreatorTool="([^"]+)"', "Created with", "software"), (r"dc:creator>[\s\S]*?<rdf:li[^>]*>([^<]+)<", "Creator", "authorship"),

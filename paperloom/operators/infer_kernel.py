@@ -26,7 +26,7 @@ ALIASES = {
 FACES = (
     "regular book roman italic oblique bold black heavy semibold demibold demi light thin extralight ultralight medium condensed narrow expanded mt ps psmt it ital bd bi blk rg obl"
 ).split()
-#: Faces that are recognised without a separator before them.
+#: Fixed: faces that are recognised without a separator before them, tried in turn, longer ones first.
 GLUED = ("BoldItalic", "BoldOblique", "Regular", "Italic", "Oblique", "SemiBold", "DemiBold", "Bold", "Black", "Heavy", "Light", "Thin", "Medium", "PSMT", "MT", "PS")
 
 _LEAD, _TRAIL, _RUNS, _ENDS_WS = re.compile(f"^{PY_WS}+"), re.compile(f"{PY_WS}+$"), re.compile(f"{PY_WS}{{2,}}"), re.compile(f"{PY_WS}$")

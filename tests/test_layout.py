@@ -21,7 +21,7 @@ def test_paragraph_heading_and_list():
 
 
 def test_table_needs_three_rows_of_two_columns_or_two_of_three():
-    row = lambda y, *cells: [item(c, x, y) for c, x in zip(cells, (68, 226.4, 384.9), strict=False)]
+    row = lambda y, *cells: [item(c, x, y) for c, x in zip(cells, (72, 210, 400), strict=False)]
     assert kinds(row(700, "a", "b", "c") + row(680, "d", "e", "f")) == ["table"]
     assert "table" not in kinds(row(700, "a", "b") + row(680, "d", "e"))
     table = I.blocks_of(I.lines_of(row(700, "a", "b") + row(680, "d", "e") + row(660, "g", "h")))[0]
