@@ -96,11 +96,30 @@ def inferred_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "page", "kind").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("SELECT (item_id // 5)::BIGINT AS doc_id, (item_id % 5)::INT AS page, false AS scanned, 0.0::DOUBLE AS unmapped FROM benchmark")
+@query("""WITH i AS (SELECT item_id, 'Part ' || item_id % 5 || CASE WHEN item_id % 3 = 0 THEN chr(57344) ELSE '' END AS head, CASE WHEN item_id % 4 = 1 THEN '' ELSE 'Page ' || item_id % 5 || text END AS rest FROM benchmark),
+n AS (SELECT item_id, length(regexp_replace(head || rest, '\s', '', 'g')) AS seen FROM i)
+SELECT (item_id // 5)::BIGINT AS doc_id, (item_id % 5)::INT AS page, item_id % 4 = 1 AND item_id % 8 <> 1 AS scanned, round(CASE WHEN item_id % 3 = 0 THEN 1.0::DOUBLE / seen ELSE 0.0::DOUBLE END, 9) AS unmapped FROM n""")
 def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some pages hold hardly any text, some of these pictures; some headings have a character without a mapping."""
     from paperloom.operators.furniture import page_quality as quality
 
-    return quality(*laid_out(spark, sf_dir))
+    items, pages = laid_out(spark, sf_dir)
+    item = 5 * F.col("doc_id") + F.col("page")
+    bad = F.when((F.col("seq") == -1) & (item % 3 == 0), F.concat("text", F.lit("\ue000"))).otherwise(F.col("text"))
+    found = quality(items.where((F.col("seq") == -1) | (item % 4 != 1)).withColumn("text", bad), pages.withColumn("image_count", (item % 8 != 1).cast("int")))
+    return found.withColumn("unmapped", F.round("unmapped", 9))
+
+
+@query("""SELECT page_id, len(h) AS n, array_to_string(list_transform(h, lambda x: replace(replace(replace(trim(x), '&quot;', '"'), '&lt;', '<'), '&amp;', '&')), '|') AS headings
+FROM (SELECT page_id, list_filter(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1), lambda x: trim(x) <> '') AS h FROM pages)""")
+def markup_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-level headings of web pages, in order."""
+    from paperloom.operators import markup
+
+    ship(spark)
+    found = spread(table(spark, sf_dir, "pages")).select("page_id", markup.blocks(F.col("html")).alias("b"))
+    heads = F.filter("b", lambda x: (x["kind"] == "heading") & (x["level"] == 1))
+    return found.select("page_id", F.size(heads).cast("long").alias("n"), F.array_join(F.transform(heads, lambda x: x["text"]), "|").alias("headings"))
 
 
 STRIPPED = "regexp_replace(regexp_replace({}, '<[^>]*>', '', 'g'), '\\s+', '', 'g')"
