@@ -51,3 +51,28 @@ def documents(files: DataFrame, id_col: str, content: str, keep_furniture: bool
 
     pages = save(pages_of(files, id_col, content), "pdf_pages")
     return infer.documents(items_of(pages), pages.where("page is not null").select("doc_id", "page", "width", "height"), keep_furniture)
+
+
+def _rewrite(work, content: Column, *words: Column) -> Column:
+    @F.arrow_udf("struct<content:binary,error:string>")
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            out = [None if f is None else work(f, *w) for f, *w in zip(*(c.to_pylist() for c in columns), strict=True)]
+            yield pa.array(out, pa.struct([("content", pa.binary()), ("error", pa.string())]))
+
+    return run.asNondeterministic()(content, *words)
+
+
+def protect(content: Column, user: Column, owner: Column, cipher: str = "AES-256", **permissions) -> Column:
+    """(content, error) of files sealed with two passwords, AES-256 or AES-128; permissions as ``permission_bits`` takes them."""
+    from paperloom.operators import pdf_seal_kernel as K
+
+    allowed = K.permission_bits(**permissions)
+    return _rewrite(lambda f, u, o: K.protect(f, u or "", o, allowed, cipher), content, user, owner)
+
+
+def unlock(content: Column, password: Column) -> Column:
+    """(content, error) of files without their password."""
+    from paperloom.operators import pdf_seal_kernel as K
+
+    return _rewrite(K.unlock, content, password)

@@ -2,7 +2,8 @@
 
 Objects are found by looking for them, not by the cross-reference table, so files with a damaged one are read too; the last
 of several objects with one number counts. Streams may be plain or packed by Flate, ASCIIHex or ASCII85, with or without a
-predictor, and objects may lie in object streams. Files that need no password or an empty one are decrypted if they use RC4.
+predictor, and objects may lie in object streams. Files are decrypted, RC4 and AES up to revision 5, with the user's or the
+owner's password, an empty one unless another is given.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 import zlib
 from dataclasses import dataclass, field
 
+from paperloom.operators import aes_kernel as aes
 from paperloom.operators.pdf_kernel import HELVETICA, PADDING, _rc4
 
 
@@ -207,7 +209,7 @@ class File:
     """An opened file; :class:`Sealed` where the password isn't the right one."""
 
     def __init__(self, data: bytes, password: str | None = None):
-        self.data, self.key, self.known, self.fonts = data, None, {}, {}
+        self.data, self.key, self.cipher, self.known, self.fonts = data, None, "", {}, {}
         self.place = {int(m[1]): m.end() for m in re.finditer(rb"(?<!\d)(\d+)[\x00\t\n\x0c\r ]+\d+[\x00\t\n\x0c\r ]+obj\b", data)}
         self.trailer = self._trailer()
         if "Encrypt" in self.trailer:
@@ -255,41 +257,75 @@ class File:
                 end = len(self.data) if end < 0 else end
             raw = self.data[found.end() : end]
             sealed = self.key is not None and value.get("Type") != "XRef"
-            return Stream(self._opened(value, number), _rc4(self._object_key(number), raw) if sealed else raw)
+            return Stream(self._opened(value, number), self._plain(raw, number) if sealed else raw)
         return self._opened(value, number)
 
-    def _object_key(self, number: int) -> bytes:
-        return hashlib.md5(self.key + number.to_bytes(3, "little") + b"\0\0").digest()[: min(16, len(self.key) + 5)]
+    def _plain(self, raw: bytes, number: int) -> bytes:
+        if self.cipher == "AESV3":
+            return aes.unpadded(aes.decrypt(self.key, raw[16:], raw[:16]))
+        salt = b"sAlT" if self.cipher == "AESV2" else b""
+        key = hashlib.md5(self.key + number.to_bytes(3, "little") + b"\0\0" + salt).digest()[: min(16, len(self.key) + 5)]
+        return aes.unpadded(aes.decrypt(key, raw[16:], raw[:16])) if salt else _rc4(key, raw)
 
     def _opened(self, value, number: int):
         if self.key is None:
             return value
         if isinstance(value, bytes):
-            return _rc4(self._object_key(number), value)
+            return self._plain(value, number)
         if isinstance(value, list):
             return [self._opened(v, number) for v in value]
         return {k: self._opened(v, number) for k, v in value.items()} if isinstance(value, dict) else value
 
     def _unlock(self, password: str | None) -> None:
         how = self.get(self.trailer["Encrypt"]) or {}
-        revision, user, owner = how.get("R", 0), how.get("U", b""), how.get("O", b"")
-        plain = how.get("V") in (1, 2) or (how.get("V") == 4 and all(f.get("CFM") == "V2" for f in (how.get("CF") or {}).values()))
-        if revision not in (2, 3, 4) or not plain or len(user) < 32 or len(owner) < 32:
+        revision, user, owner = how.get("R", 0), how.get("U") or b"", how.get("O") or b""
+        methods = {f.get("CFM") for f in (how.get("CF") or {}).values() if isinstance(f, dict)}
+        self.cipher = "RC4" if how.get("V") in (1, 2) or methods <= {"V2"} else methods.pop() if len(methods) == 1 else ""
+        if revision == 5 and self.cipher == "AESV3" and min(len(user), len(owner)) >= 48:
+            key = self._modern_key(how, (password or "").encode()[:127])
+        elif revision in (2, 3, 4) and self.cipher in ("RC4", "AESV2") and min(len(user), len(owner)) >= 32:
+            key = self._classic_key(how, (password or "").encode("cp1252", "replace"))
+        else:
             raise Sealed("unsupported encryption")
-        first = self.get((self.get(self.trailer.get("ID")) or [b""])[0])
-        size = 5 if revision == 2 else how.get("Length", 128 if revision == 4 else 40) // 8
-        rest = owner[:32] + (how.get("P", 0) & 0xFFFFFFFF).to_bytes(4, "little") + first + (b"\xff" * 4 if revision == 4 and how.get("EncryptMetadata") is False else b"")
-        key = hashlib.md5(((password or "").encode("cp1252", "replace") + PADDING)[:32] + rest).digest()
-        for _ in range(50 if revision > 2 else 0):
-            key = hashlib.md5(key[:size]).digest()
-        key = key[:size]
-        check = PADDING if revision == 2 else hashlib.md5(PADDING + first).digest()
-        for i in range(1 if revision == 2 else 20):
-            check = _rc4(bytes(b ^ i for b in key), check)
-        if check != user[: len(check)]:
+        if key is None:
             raise Sealed("wrong-password" if password else "needs-password")
         self.key = key
 
+    def _modern_key(self, how: dict, password: bytes) -> bytes | None:
+        """A check value, a salt for it and a salt for the key lie in U and O, the sealed key in UE and OE."""
+        for mark, sealed, rest in ((how["U"], how.get("UE"), b""), (how["O"], how.get("OE"), how["U"][:48])):
+            if hashlib.sha256(password + mark[32:40] + rest).digest() == mark[:32]:
+                return aes.decrypt(hashlib.sha256(password + mark[40:48] + rest).digest(), sealed[:32])
+        return None
+
+    def _classic_key(self, how: dict, password: bytes) -> bytes | None:
+        """The key that ``password`` gives as the user's, or as the owner's, which seals the user's."""
+        revision, owner = how["R"], how["O"][:32]
+        first = self.get((self.get(self.trailer.get("ID")) or [b""])[0])
+        size = 5 if revision == 2 else how.get("Length", 128 if revision == 4 else 40) // 8
+        more = revision > 2
+
+        def key_of(word: bytes) -> bytes:
+            rest = owner + (how.get("P", 0) & 0xFFFFFFFF).to_bytes(4, "little") + first + (b"\xff" * 4 if revision == 4 and how.get("EncryptMetadata") is False else b"")
+            key = hashlib.md5((word + PADDING)[:32] + rest).digest()
+            for _ in range(50 * more):
+                key = hashlib.md5(key[:size]).digest()
+            return key[:size]
+
+        def opens(key: bytes) -> bool:
+            check = hashlib.md5(PADDING + first).digest() if more else PADDING
+            for i in range(20 if more else 1):
+                check = _rc4(bytes(b ^ i for b in key), check)
+            return check == how["U"][: len(check)]
+
+        seal = hashlib.md5((password + PADDING)[:32]).digest()
+        for _ in range(50 * more):
+            seal = hashlib.md5(seal).digest()
+        word = owner
+        for i in range(19 if more else 0, -1, -1):
+            word = _rc4(bytes(b ^ i for b in seal[:size]), word)
+        return next((key for key in map(key_of, (password, word)) if opens(key)), None)
+
     def content(self, stream: Stream) -> bytes:
         """A stream's bytes; empty where a filter isn't known or its data is damaged from the start."""
         names, hows, data = self.get(stream.head.get("Filter")), self.get(stream.head.get("DecodeParms")), stream.raw

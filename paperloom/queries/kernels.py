@@ -315,3 +315,19 @@ def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spread(table(spark, sf_dir, "part").where("p_partkey % 2 = 1"))
     files = parts.select("p_partkey", paginate.pdf(markup.blocks(F.concat(F.lit("<p>"), "p_name", F.lit("</p>")))).alias("content"))
     return pdf_text.documents(files, "p_partkey", "content").select(F.col("doc_id").alias("p_partkey"), "text", "kind", "seq")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'owner-only' ELSE 'user-password' END AS encryption, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN 'needs-password' ELSE 'wrong-password' END AS refused, p_name AS text, 'none' AS afterwards FROM part WHERE p_partkey <= 600")
+def sealed_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with passwords: how they are sealed, what a reader without the right one is told, and what is in them."""
+    from paperloom.operators import markup, paginate, pdf_text
+
+    ship(spark)
+    kind, brand = F.col("p_partkey") % 3, F.col("p_brand")
+    parts = spread(table(spark, sf_dir, "part").where("p_partkey <= 600"))
+    files = parts.select("p_partkey", kind.alias("kind"), "p_brand", paginate.pdf(markup.blocks(F.concat(F.lit("<p>"), "p_name", F.lit("</p>")))).alias("f"))
+    sealed = files.select("p_partkey", "kind", "p_brand", pdf_text.protect(F.col("f"), F.when(F.col("kind") != 0, brand), F.concat(brand, F.lit("!")), "AES-128", copying=False)["content"].alias("f"))
+    said = pdf_text.read(F.col("f"), F.when(F.col("kind") == 2, "no"))["error"]
+    opened = sealed.select("p_partkey", paginate.encryption(F.col("f")).alias("encryption"), said.alias("refused"), pdf_text.unlock(F.col("f"), F.concat(brand, F.lit("!")))["content"].alias("f"))
+    items = pdf_text.read(F.col("f"))["pages"][0]["items"]
+    return opened.select("p_partkey", "encryption", "refused", F.array_join(F.transform(items, lambda i: i["text"]), " ").alias("text"), paginate.encryption(F.col("f")).alias("afterwards"))

@@ -110,3 +110,45 @@ def test_passwords_and_damage():
     for cut in range(0, len(whole), 7):  # no file makes the reader fail
         R.read(whole[:cut])
         R.read(whole[:cut] + b"<<[(" + whole[cut:])
+
+
+def test_cipher_by_the_standard_s_examples():
+    import os
+
+    from paperloom.operators import aes_kernel as A
+
+    plain = bytes.fromhex("00112233445566778899aabbccddeeff")
+    for n, sealed in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (24, "dda97ca4864cdfe06eaf70a0ec0d7191"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        key, data, start = bytes(range(n)), os.urandom(16 * 40), os.urandom(16)
+        assert A.encrypt(key, plain).hex() == sealed and A.decrypt(key, A.encrypt(key, data, start), start) == data
+    assert A.unpadded(A.padded(b"x" * 16)) == b"x" * 16 and A.decrypt(bytes(16), b"short") == b""
+
+
+@pytest.mark.parametrize("cipher", ["AES-256", "AES-128"])
+def test_sealed_files_open_with_either_password(cipher):
+    from paperloom.operators import pdf_seal_kernel as S
+
+    blocks = M.parse_blocks("<h1>Title</h1><p>some <b>bold</b> text</p>" + "<p>" + "word " * 700 + "</p>")
+    plain = P.draw(K.paginate(blocks, K.A4, P.helvetica), *K.A4[:2])
+    expected = R.read(plain)
+    allowed = S.permission_bits(printing="low", copying=False)
+    sealed = S.protect(plain, "user", "owner", allowed, cipher)["content"]
+    assert b"Title" not in sealed and P.encryption(sealed) == "user-password"
+    assert R.read(sealed)["error"] == "needs-password" and R.read(sealed, "no")["error"] == "wrong-password"
+    for word in ("user", "owner"):
+        assert R.read(sealed, word) == expected
+        opened = S.unlock(sealed, word)["content"]
+        assert P.encryption(opened) == "none" and R.read(opened) == expected
+    only = S.protect(plain, "", "owner", allowed, cipher)["content"]
+    assert P.encryption(only) == "owner-only" and R.read(only) == expected and f"/P {allowed}".encode() in only
+    again = S.protect(only, "new", None, None, cipher)["content"]
+    assert R.read(again, "new") == expected and R.read(again)["error"] == "needs-password"
+    assert S.protect(b"junk")["error"] == S.unlock(b"junk")["error"] == "damaged" and S.unlock(sealed)["error"] == "needs-password"
+    assert R.read(S.unlock(locked(b"open"), "open")["content"])["pages"][0]["items"][0]["text"] == "secret"
+
+
+def test_permission_bits():
+    from paperloom.operators import pdf_seal_kernel as S
+
+    assert S.permission_bits() == -4 and S.permission_bits("none", False, False, False, False) & 0xFFFFFFFF == 0xFFFFF2C0
+    assert S.permission_bits("low") & (4 | 2048) == 4
