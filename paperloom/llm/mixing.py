@@ -31,6 +31,8 @@ SEED = 20
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Steps of a document's weight to each doubling; rows of a plan, one for each source and step, that are broadcast at most.
 STEPS, BROADCAST_ROWS = 6, 200_000
+#: Least weight, which null and others that aren't positive numbers count as; its inverse is the largest.
+LEAST = 2.0**-30
 
 
 def word_count(text: str) -> Column:
@@ -74,7 +76,8 @@ def _planned(keys: DataFrame, weights: list[float], share: float, limit: float)
 def _keyed(df: DataFrame, text: str, id_col: str, source: str, seed: int, weight: Column | None) -> DataFrame:
     """``df`` with what the draw needs, in columns __pl_s, _size, _step (of the weight), _h (hash of id and text) and _tie."""
     sized = df.withColumn("__pl_size", word_count(text))
-    weight = F.log2(2 + F.col("__pl_size")) if weight is None else weight
+    weight = F.log2(2 + F.col("__pl_size")) if weight is None else weight.cast("double")
+    weight = F.greatest(F.lit(LEAST), F.least(F.lit(1 / LEAST), F.coalesce(F.nanvl(weight, F.lit(0.0)), F.lit(0.0))))
     return sized.withColumns({
         "__pl_s": F.col(source), "__pl_step": F.round(STEPS * F.log2(weight)).cast("int"), "__pl_h": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text)), "__pl_tie": F.xxhash64(F.monotonically_increasing_id()),
     })
@@ -129,7 +132,8 @@ def _cuts(keys: DataFrame) -> DataFrame:
 def mix(df: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights: tuple = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: int = SEED, weight: Column | None = None) -> DataFrame:
     """The rows of ``df`` with __pl_size, __pl_total, __pl_target and __pl_copies, the times that the mix takes them.
 
-    ``weight``: of a document, a positive column of ``df``; a literal gives all documents of a source the same chance.
+    ``weight``: of a document, a column of ``df`` of 2**-30 to 2**30, the nearer of which other numbers count as, and null as the
+    least; a literal gives all documents of a source the same chance. ``weights``, of sources, are positive.
     """
     names = ("s", "step", "size", "h", "tie")
     rows = _keyed(df, text, id_col, source, seed, weight)

@@ -614,6 +614,8 @@ def test_a_document_s_chance_follows_its_weight(spark):
     c = 0.5 * 3 / sum(2 ** (round(6 * math.log2(w)) / 6) for w in (1, 2, 3))
     for w, m in got.items():
         assert m == pytest.approx(c * 2 ** (round(6 * math.log2(w)) / 6), abs=0.03)
+    odd = df.withColumn("w", F.when(F.col("doc_id") % 4 == 0, None).when(F.col("doc_id") % 4 == 1, float("nan")).when(F.col("doc_id") % 4 == 2, -5.0).otherwise(F.col("w")))
+    assert {r["doc_id"] % 4 for r in mixing.mix(odd, share=0.2, weight=F.col("w")).where("__pl_copies > 0").collect()} == {3}
     high = mixing.mix(df, share=1.5, weight=F.col("w")).groupBy("w").agg(F.min("__pl_copies").alias("lo"), F.max("__pl_copies").alias("hi")).collect()
     assert {r["w"]: (r["lo"], r["hi"]) for r in high}[3.0] == (2, 2)  # stopped at the limit: certain
 
