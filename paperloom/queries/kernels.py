@@ -97,7 +97,7 @@ def inferred_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH i AS (SELECT item_id, 'Part ' || item_id % 5 || CASE WHEN item_id % 3 = 0 THEN chr(57344) ELSE '' END AS head, CASE WHEN item_id % 4 = 1 THEN '' ELSE 'Page ' || item_id % 5 || text END AS rest FROM benchmark),
-n AS (SELECT item_id, length(regexp_replace(head || rest, '\s', '', 'g')) AS seen FROM i)
+n AS (SELECT item_id, length(regexp_replace(head || rest, '\\s', '', 'g')) AS seen FROM i)
 SELECT (item_id // 5)::BIGINT AS doc_id, (item_id % 5)::INT AS page, item_id % 4 = 1 AND item_id % 8 <> 1 AS scanned, round(CASE WHEN item_id % 3 = 0 THEN 1.0::DOUBLE / seen ELSE 0.0::DOUBLE END, 9) AS unmapped FROM n""")
 def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some pages hold hardly any text, some of these pictures; some headings have a character without a mapping."""
