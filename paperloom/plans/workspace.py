@@ -110,8 +110,13 @@ def give_back() -> None:
         pass
 
 
+#: Bytes that one broadcast may take, by the sizes that Spark gives a row's types and what a hash table adds to each row.
+BROADCAST_BYTES, ROW_BYTES = 96 << 20, 24
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after counting: beyond ``max_rows`` rows the join shuffles instead."""
+    """Hint a broadcast only after counting: beyond ``max_rows`` rows, or so many as fit ``BROADCAST_BYTES``, the join shuffles instead."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    fitting = min(max_rows, BROADCAST_BYTES // (df._jdf.schema().defaultSize() + ROW_BYTES))
+    return F.broadcast(df) if df.limit(fitting + 1).count() <= fitting else df
