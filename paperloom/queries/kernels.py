@@ -10,7 +10,7 @@ from paperloom.operators import diff
 from paperloom.plans.workspace import ship, spread
 from paperloom.queries.relations import neighbours
 from paperloom.queries.text import LINED
-from paperloom.registry import query, table, values
+from paperloom.registry import query, table
 
 COUNTED = f"""WITH n AS (SELECT doc_id, count(l.line) AS n FROM documents LEFT JOIN ({LINED}) l USING (doc_id) GROUP BY doc_id) SELECT a.doc_id, a.n AS n_left, b.n AS n_right"""
 
